@@ -168,6 +168,13 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return node.join(groups, node.doc_id == groups.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce(F.col("root").isNull() | (F.col("root") == F.col("doc_id")), F.lit(True)).alias("kept"))
 
 
+def near_duplicate_groups(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, group_id) of the documents in groups of two or more. Cases as in near_duplicates; documents without copies have no row."""
+    groups = near_duplicates(docs, most_bits)
+    size, = salted_names(groups.columns, "size")
+    return groups.where("doc_id IS NOT NULL").withColumn(size, F.count("*").over(Window.partitionBy("group_id"))).where(F.col(size) > 1).select("doc_id", "group_id")
+
+
 def drop_near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """docs with one document of each group of near copies, the one with the least doc_id; all its columns. Cases as in near_duplicates."""
     gone, = salted_names(docs.columns, "gone")

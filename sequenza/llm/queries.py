@@ -2,23 +2,67 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequenza.llm import simhash
+from sequenza.llm import language, lines, quality, simhash, tokencount
 from sequenza.llm.common import read
 
 
+TOKENIZERS = os.environ.get("SEQUENZA_TOKENIZERS", "/opt/tokenizers")
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family, language and margin of every document."""
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of lines that every document repeats from itself or an earlier one."""
+    return lines.repeated_runs(read(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Words and greedy longest-match tokens of every document."""
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), *tokencount.pieces_of_model(f"{tokenizers}/{PIECE_MODEL}"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomaly score of every document, and whether it is rejected."""
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, group_id) of every document that has near copies; group_id is the least doc_id of the group."""
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup)}
+
+
+OP3_SQL = r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents
+), solid AS (
+  SELECT doc_id, n, line, row_number() OVER o AS k FROM line WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') WINDOW o AS (PARTITION BY doc_id ORDER BY n)
+), win AS (
+  SELECT doc_id, n AS top, lead(n, 2) OVER o AS bottom, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS lines
+  FROM solid WINDOW o AS (PARTITION BY doc_id ORDER BY n)
+), again AS (
+  SELECT doc_id, top, bottom FROM (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, top) AS r FROM win WHERE bottom IS NOT NULL) WHERE r > 1
+), marked AS (
+  SELECT *, CASE WHEN top <= max(bottom) OVER (PARTITION BY doc_id ORDER BY top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS begins FROM again
+), run AS (
+  SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY top ROWS UNBOUNDED PRECEDING) AS run FROM marked
+)
+SELECT doc_id, CAST(min(top) AS INT) AS first_line, CAST(max(bottom) AS INT) AS last_line FROM run GROUP BY doc_id, run
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL.replace("\\\\", "\\")}

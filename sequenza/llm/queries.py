@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequenza.llm import language, lines, quality, simhash, tokencount
+from sequenza.llm import digest, language, lines, mixing, packing, quality, sentencepieces, simhash, suffix, tokencount
 from sequenza.llm.common import read
 
 
@@ -21,6 +21,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word ranges that every document repeats from itself or an earlier one."""
+    return suffix.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of lines that every document repeats from itself or an earlier one."""
     return lines.repeated_runs(read(spark, sf_dir, "documents"))
@@ -41,8 +46,28 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The pieces of every document, whether they decode to it, and whether the library gives the same."""
+    return sentencepieces.encoded(read(spark, sf_dir, "documents"), f"{tokenizers}/{PIECE_MODEL}")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length bucket and the batch of every document."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document, and the benchmark item whose digest differs least from it."""
+    return digest.closest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bits per byte of every document, by the model of all documents."""
+    return mixing.bits_per_byte(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup, op7_sentencepiece, op8_packing, op9_document_fingerprints, op10_lm_scoring)}
 
 
 OP3_SQL = r"""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sequenza.llm.common import WORD, Rolling, pieces, row_sums, text_buffer
 
 #: Predictors, and the slots of each: 2**LINE_BITS lines of 16 slots, one line for each half of a byte.
-CONTEXTS, LINE_BITS = 4, 14
+CONTEXTS, LINE_BITS = 4, 16
 SLOTS = 16 << LINE_BITS
 #: Pieces in which a table is added up.
 PARTS = 64

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sequenza.llm import digest, language, lines, mixing, packing, quality, sentencepieces, simhash, suffix, tokencount
 from sequenza.llm.common import read
 
@@ -66,8 +67,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.bits_per_byte(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed batches that the corpus pipeline makes of all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup, op7_sentencepiece, op8_packing, op9_document_fingerprints, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup, op7_sentencepiece, op8_packing, op9_document_fingerprints, op10_lm_scoring, pipeline)}
 
 
 OP3_SQL = r"""
@@ -90,4 +96,4 @@ SELECT doc_id, CAST(min(top) AS INT) AS first_line, CAST(max(bottom) AS INT) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL.replace("\\\\", "\\")}
+    return {"op3_line_dedup": OP3_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -1,13 +1,13 @@
 """Near-duplicate documents by SimHash fingerprints, pigeonhole blocks and verified Hamming distance.
 
-A fingerprint has 8 blocks of 16 bits. Bit b of block j is the sign of the sum, over the document's distinct word
-pairs f, of weight_j(f) * sign_jb(f), where weight_j(f) = 1/u for a uniform u made from f and j. Such heavy-tailed
-weights let a block hang on a few word pairs, other ones in each block: an edited word leaves most blocks as they were,
-so copies share blocks far more often than with equal weights, while unrelated texts still differ in half of the bits.
-
-Pigeonhole: 6 differing bits leave at least two of eight blocks equal, so joining on each of the 28 pairs of
-blocks (32-bit keys) finds every pair of distance 6 or less; pairs up to MOST_BITS, whose differing bits sit together in the blocks
-that an edit reached, are found with the recall that the README states. Every pair that is found is verified.
+A fingerprint has two halves, both made from the document's distinct word pairs f. Bit b of the first half's block j
+(eight blocks of 16 bits) is the sign of the sum of weight_j(f) * sign_jb(f), where weight_j(f) = 1/u for a uniform u made from f
+and j. Such heavy-tailed weights let a block hang on a few word pairs, other ones in each block: an edited word leaves
+most blocks as they were, so copies share blocks far more often than with equal weights. The second half's 128 bits are signs of
+sums with equal weights, whose distance follows the angle between the documents: it is what pairs are verified by.
+
+Pigeonhole: first halves that differ in at most six bits have at least two of eight blocks in common. Joining on each of the 28 pairs of blocks
+(32-bit keys) finds all those, and others whose differences sit together in the blocks that an edit reached. Every pair that is found is verified.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from sequenza.llm.common import U64, WORD, Rolling, mix, pieces, salted_names, spans, stable, text_buffer
 
 BLOCKS, BLOCK_BITS = 8, 16
-#: Fingerprints that differ in at most so many of the 128 bits are near copies.
-MOST_BITS = 32
+#: Documents whose second halves differ in at most so many of the 128 bits are near copies.
+MOST_BITS = 34
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)  # of a byte's bits
 _POPCOUNT = getattr(np, "bitwise_count")
 
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The two 64-bit halves of each text's fingerprint. A text without two words is one feature, its own bytes."""
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's fingerprint: the first half (blocks 0 to 3, 4 to 7) and the second as 64-bit values. A text without two words is one feature, its own bytes."""
     data, offsets = text_buffer(pc.utf8_lower(texts.cast(pa.string())))
     starts, ends, counts = spans(WORD[data], offsets)
     words = Rolling(data)(starts, ends)
@@ -47,22 +47,20 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = first[np.argsort(of[first], kind="stable")]
     features, of = features[first], of[first]
     at = np.searchsorted(of, np.arange(len(counts)))
-    halves = np.zeros((2, len(counts)), U64)
-    for block in range(BLOCKS):
-        u = (mix(features, 100 + block) >> U64(40)).astype(np.float32)
-        weight = np.float32(2**24) / (u + np.float32(0.5))
-        signs = mix(features, 200 + block).view(np.uint8).reshape(-1, 8)[:, :2]
-        for byte in range(2):
-            sums = np.add.reduceat(_SIGNS[signs[:, byte]] * weight[:, None], at, axis=0)
-            bits = np.packbits(sums > 0, axis=1)[:, 0].astype(U64)
-            halves[block // 4] |= bits << U64(block % 4 * 16 + byte * 8)
-    return halves[0], halves[1]
+    halves = np.zeros((4, len(counts)), U64)
+    for block in range(2 * BLOCKS):
+        signs = _SIGNS[mix(features, 200 + block).view(np.uint8).reshape(-1, 8)[:, :2]]
+        if block < BLOCKS:
+            u = (mix(features, 100 + block) >> U64(40)).astype(np.float32)
+            signs = signs * (np.float32(2**24) / (u + np.float32(0.5)))[:, None, None]
+        bits = np.packbits(np.add.reduceat(signs, at, axis=0) > 0, axis=2)[..., 0].astype(U64)
+        halves[block // 4] |= (bits[:, 0] | bits[:, 1] << U64(8)) << U64(block % 4 * 16)
+    return tuple(halves)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
-        high, low = fingerprints(piece.column(1))
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], ["doc_id", "high", "low"])
+        yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x.view(np.int64)) for x in fingerprints(piece.column(1)))], ["doc_id", "high", "low", "first", "second"])
 
 
 def _forest(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,10 +155,10 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     Very long texts are whole, and a table without rows gives none.
     """
     marked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = stable(marked.mapInArrow(_fingerprint_batches, "doc_id long, high long, low long").withColumn("rep", F.min("doc_id").over(Window.partitionBy("high", "low"))))
+    prints = stable(marked.mapInArrow(_fingerprint_batches, "doc_id long, high long, low long, first long, second long").withColumn("rep", F.min("doc_id").over(Window.partitionBy("high", "low", "first", "second"))))
     blocks = [F.shiftrightunsigned(F.col("high" if j < 4 else "low"), j % 4 * 16).bitwiseAND(0xFFFF) for j in range(BLOCKS)]
     keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    spread = prints.where("doc_id = rep").select(F.explode(F.array(*keys)).alias("key"), F.col("rep"), "high", "low").distinct()
+    spread = prints.where("doc_id = rep").select(F.explode(F.array(*keys)).alias("key"), F.col("rep"), "first", "second").distinct()
     edges = prints.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = edges.union(spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_edges(most_bits), "u long, v long"))
     groups = components(edges)

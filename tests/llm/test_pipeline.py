@@ -9,7 +9,6 @@ import pytest
 import test_digest
 import test_lines
 import test_packing  # noqa: F401
-import test_simhash
 import test_suffix
 import test_tokencount
 
@@ -39,10 +38,30 @@ def plain_lines(docs):
 
 def plain_near(docs):
     ids = sorted(docs)
-    groups = test_simhash.brute_groups(ids, *simhash.fingerprints(pa.array([docs[d] for d in ids])), simhash.MOST_BITS)
+    groups = plain_groups(docs)
     return {d: docs[d] for d in ids if groups[d] == d}
 
 
+def plain_groups(docs):
+    """Components of all pairs that share two blocks and are close."""
+    ids = sorted(docs)
+    high, low, first, second = simhash.fingerprints(pa.array([docs[d] for d in ids]))
+    blocks = np.stack([(h >> np.uint64(16 * k)) & np.uint64(0xFFFF) for h in (high, low) for k in range(4)], 1)
+    root = {d: d for d in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (blocks[a] == blocks[b]).sum() >= 2 and int(np.bitwise_count(first[a] ^ first[b])) + int(np.bitwise_count(second[a] ^ second[b])) <= simhash.MOST_BITS:
+                x, y = find(ids[a]), find(ids[b])
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
 def plain_suffix(docs):
     gone = {}
     for d, a, b, _ in test_suffix.brute(list(docs.items()), 50):
@@ -116,8 +135,7 @@ def test_queries_over_whole_tables(spark, docs):
     assert rows("op4") == sorted(((d, len(w), sum(test_tokencount.greedy(x, first, later) for x in w)) for d, w in words.items()), key=str)
     kept = plain_quality(spark, docs)
     assert {r[0] for r in rows("op5") if not r[2]} == set(kept) and len(rows("op5")) == len(docs)
-    ids = sorted(docs)
-    groups = test_simhash.brute_groups(ids, *simhash.fingerprints(pa.array([docs[d] for d in ids])), simhash.MOST_BITS)
+    groups = plain_groups(docs)
     sizes = {g: list(groups.values()).count(g) for g in groups.values()}
     assert rows("op6") == sorted(((d, g) for d, g in groups.items() if sizes[g] > 1), key=str)
     assert all(r[3] and r[4] for r in rows("op7")) and len(rows("op7")) == len(docs)

@@ -28,7 +28,7 @@ def brute_groups(docs: list[int], high: np.ndarray, low: np.ndarray, most: int)
 def test_recall_against_all_pairs(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     table = docs.select("doc_id", "text").orderBy("doc_id").toArrow()
-    high, low = simhash.fingerprints(table["text"].combine_chunks())
+    _, _, high, low = simhash.fingerprints(table["text"].combine_chunks())
     gaps = 0
     found = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
     ids = table["doc_id"].to_pylist()

@@ -76,6 +76,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup, op7_sentencepiece, op8_packing, op9_document_fingerprints, op10_lm_scoring, pipeline)}
 
 
+_SOLID = r"list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+OP2_SQL = f"""
+WITH word AS (
+  SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) - 1 AS k FROM (SELECT doc_id, {_SOLID} AS p FROM documents)
+), win AS (
+  SELECT doc_id, k, string_agg(w, ' ') OVER o AS t, count(*) OVER o AS n
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), placed AS (
+  SELECT doc_id, k, row_number() OVER o AS r, first_value(doc_id) OVER o AS source FROM win WHERE n = 50 WINDOW o AS (PARTITION BY t ORDER BY doc_id, k)
+), again AS (
+  SELECT *, CASE WHEN k <= max(k + 50) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM placed WHERE r > 1
+), run AS (
+  SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM again
+)
+SELECT doc_id, CAST(min(k) AS INT) AS first_word, CAST(max(k) + 49 AS INT) AS last_word, min(source) AS source_doc_id FROM run GROUP BY doc_id, run
+"""
+#: The dynamic programme as a step for each bucket over all pairs of lengths.
+OP8_SQL = f"""
+WITH RECURSIVE size AS (
+  SELECT doc_id, CAST(len({_SOLID}) AS BIGINT) AS n FROM documents
+), hist AS (
+  SELECT row_number() OVER (ORDER BY n) AS j, n AS upper, sum(count(*)) OVER (ORDER BY n) AS c, sum(n * count(*)) OVER (ORDER BY n) AS s FROM size WHERE n > 0 GROUP BY n
+), dp AS (
+  SELECT 1 AS step, j, CAST(upper * c - s AS BIGINT) AS cost, [upper] AS uppers FROM hist
+  UNION ALL
+  SELECT step, j, best.cost, best.uppers FROM (
+    SELECT d.step + 1 AS step, b.j, arg_min({{'cost': CAST(d.cost + b.upper * (b.c - a.c) - (b.s - a.s) AS BIGINT), 'uppers': list_append(d.uppers, b.upper)}}, d.cost + b.upper * (b.c - a.c) - (b.s - a.s)) AS best
+    FROM dp d JOIN hist a ON a.j = d.j JOIN hist b ON b.j > a.j WHERE d.step < {packing.BUCKETS} GROUP BY d.step, b.j)
+), best AS (
+  SELECT arg_min(uppers, (cost, step)) AS uppers FROM dp WHERE j = (SELECT max(j) FROM hist)
+), upper AS (
+  SELECT doc_id, n, CASE WHEN n > 0 THEN list_min(list_filter((SELECT uppers FROM best), lambda u: u >= n)) END AS padded FROM size
+)
+SELECT doc_id, n AS n_tokens, padded AS padded_length, (row_number() OVER (PARTITION BY padded ORDER BY doc_id, n) - 1) // greatest(1, {packing.BUDGET} // padded) AS batch FROM upper
+"""
 OP3_SQL = r"""
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents
@@ -96,4 +131,4 @@ SELECT doc_id, CAST(min(top) AS INT) AS first_line, CAST(max(bottom) AS INT) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_suffix_array_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_packing": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -455,12 +455,13 @@ def _edges(spark, d) -> DataFrame:
 
 
 def _requests(spark, d, hops: int) -> DataFrame:
-    return table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("request"), F.col("p_partkey").alias("vertex"), F.lit(hops).alias("path_length"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("request"), F.col("p_partkey").alias("vertex"), F.lit(hops).alias("path_length"))
 
 
 @query
 def bfs_two_hops(spark, d):
-    return graph.bounded_bfs(_requests(spark, d, 2), _edges(spark, d), 2)
+    """How many parts come into reach of each part at each depth."""
+    return graph.bounded_bfs(_requests(spark, d, 2), _edges(spark, d), 2).groupBy("request", "depth").agg(F.count("*").alias("n"))
 
 
 @query

@@ -107,10 +107,10 @@ UNION ALL SELECT word, page, CAST(version AS INT), 'remove', {PACK('page', 'old_
     "windowed_tfidf": f"WITH {TF}, raw AS (SELECT doc_id, word, tf / sum(tf) OVER (PARTITION BY doc_id) * ln((SELECT count(*) FROM documents) / count(*) OVER (PARTITION BY word)) AS v FROM tf) SELECT doc_id, word, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw",
     "vectorized": f"WITH {TF}, v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS idx FROM tf GROUP BY word HAVING count(*) >= 20) SELECT doc_id, coalesce(idx, 0) AS idx, CAST(sum(tf) AS BIGINT) AS tf FROM tf LEFT JOIN v USING (word) GROUP BY ALL",
     "bfs_two_hops": f"""WITH RECURSIVE {EDGES}, walk AS (
-  SELECT p_partkey AS request, p_partkey AS vertex, 0 AS depth FROM part WHERE p_size = 1
-  UNION ALL SELECT request, target, depth + 1 FROM walk JOIN edges ON vertex = source WHERE depth < 2
-) SELECT request, vertex, min(depth) AS depth FROM walk GROUP BY ALL""",
-    "bfs_with_markers": f"""WITH {EDGES}, s AS (SELECT p_partkey AS r FROM part WHERE p_size = 1)
+  SELECT p_partkey AS request, p_partkey AS vertex, 0 AS depth FROM part
+  UNION ALL SELECT DISTINCT request, target, depth + 1 FROM walk JOIN edges ON vertex = source WHERE depth < 2
+) SELECT request, depth, count(*) AS n FROM (SELECT request, vertex, min(depth) AS depth FROM walk GROUP BY ALL) GROUP BY ALL""",
+    "bfs_with_markers": f"""WITH {EDGES}, s AS (SELECT p_partkey AS r FROM part)
 SELECT r AS request, r AS vertex, 0 AS depth, false AS is_marker FROM s UNION ALL SELECT r, target, 1, false FROM s JOIN edges ON r = source WHERE target <> r UNION ALL SELECT r, -1, -1, true FROM s""",
     "bfs_mutable_edges": """WITH ask AS (SELECT event_id AS request, user_id AS vertex, ts FROM events WHERE event_type = 'purchase'),
 up AS (SELECT user_id AS source, ts, event_id, [(user_id * 7 + event_id) % 150, (user_id * 3 + event_id) % 150] AS targets FROM events),

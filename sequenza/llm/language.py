@@ -157,7 +157,8 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str | None], list[str |
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model for at most `rows` labelled documents, those with the least hashes of doc_id."""
     sample = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("at"))
-    table = sample.orderBy("at", "lang", "text").limit(rows).toArrow()
+    last = sample.select("at").orderBy("at").limit(rows).agg(F.max("at")).first()[0]  # so that no texts but the chosen ones are sorted
+    table = sample.where(F.col("at") <= F.lit(last).cast("long")).orderBy("at", "lang", "text").limit(rows).toArrow()
     return fit(table.column("text").combine_chunks(), table.column("lang").to_pylist())
 
 

@@ -74,7 +74,7 @@ def filter_events(spark, d):
 def flat_map_children(spark, d):
     """Words of lines, each with its place among the children of its document."""
     s = Stream(table(spark, d, "documents").select("doc_id", "text"), Order(["doc_id"]))
-    s = s.flat_map(F.split("text", "\n"), "line", "line_no").flat_map(text.split_words(F.col("line")), "word", "child")
+    s = s.flat_map(F.split("text", "\n"), "line", "line_no").flat_map(F.split("line", text.SPACE), "word", "child")
     return s.filter("word <> ''").map(doc_id=F.col("doc_id"), line_no=F.col("line_no"), child=F.col("child"), word=F.col("word")).df
 
 
@@ -554,11 +554,10 @@ def streaming_index_diff(spark, d):
         seen[row["word"]] = (row["first"], row["n"])
         return seen, (row["version"], row["word"], row["first"], row["n"], *old)
 
-    turns = stream(spark, f"{d}/conversations.parquet").select(F.col("conv_id").alias("page"), (F.col("turn") + 1).alias("version"), "text")
-    tokens = text.index_tokens(F.col("text"))
-    places = lambda w: F.filter(F.transform(tokens, lambda t, k: F.when(t == w, k)), lambda k: k.isNotNull())
-    words = turns.select("page", "version", "text", F.explode(F.array_distinct(tokens)).alias("word")).select("page", "version", "word", places(F.col("word")).alias("p"))
-    rows = words.select("page", "version", "word", F.col("p")[0].alias("first"), F.size("p").alias("n"))
+    turns = stream(spark, f"{d}/conversations.parquet").select(F.col("conv_id").alias("page"), (F.col("turn") + 1).alias("version"), text.index_tokens(F.col("text")).alias("tokens"))
+    words = turns.select("page", "version", "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
+    n = F.size("tokens") - F.size(F.array_remove("tokens", F.col("word")))
+    rows = words.select("page", "version", "word", (F.array_position("tokens", F.col("word")) - 1).cast("int").alias("first"), n.alias("n"))
     return drained(stateful.fold(rows, "page", ["version", "word"], step, "page long, version long, word string, first int, n int, old_first int, old_n int"))
 
 

@@ -58,8 +58,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of every document, and the benchmark item whose digest differs least from it."""
-    return digest.closest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    """The digest of every document, the documents whose digests are near it, and the benchmark item whose digest differs least from it."""
+    return digest.fingerprints(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Near-duplicate documents by SimHash fingerprints, pigeonhole blocks and verified Hamming distance.
 
-A fingerprint has two halves, both made from the document's distinct word pairs f. Bit b of the first half's block j
-(eight blocks of 16 bits) is the sign of the sum of weight_j(f) * sign_jb(f), where weight_j(f) = 1/u for a uniform u made from f
-and j. Such heavy-tailed weights let a block hang on a few word pairs, other ones in each block: an edited word leaves
-most blocks as they were, so copies share blocks far more often than with equal weights. The second half's 128 bits are signs of
-sums with equal weights, whose distance follows the angle between the documents: it is what pairs are verified by.
-
-Pigeonhole: first halves that differ in at most six bits have at least two of eight blocks in common. Joining on each of the 28 pairs of blocks
-(32-bit keys) finds all those, and others whose differences sit together in the blocks that an edit reached. Every pair that is found is verified.
+A fingerprint has two halves, both made from the document's distinct word pairs. Each of the first half's eight blocks of 16 bits
+is a MinHash: it is made from the least product of a word pair with the block's own multiplier, so that documents whose word pairs have Jaccard
+similarity j agree in it with probability j. The second half's 128 bits are signs of sums with equal weights, whose distance follows the angle between
+the documents: it is what pairs are verified by.
+
+Joining on each of the 28 pairs of blocks (32-bit keys) finds all pairs of which two of eight blocks are equal. The distance that is accepted also
+goes with pairs that have a half of their word pairs in common or less, which may have one equal block. So documents are joined on further bands too: each of LEASTS more
+multipliers gives a least product, and a band is three of these, no two of which are together in another band. Every pair that is found is verified.
 """
 
 from __future__ import annotations
@@ -24,14 +24,17 @@ from pyspark.sql import functions as F
 from sequenza.llm.common import U64, WORD, Rolling, mix, pieces, salted_names, spans, stable, text_buffer
 
 BLOCKS, BLOCK_BITS = 8, 16
+#: Least products of a document, and as many bands of three of them.
+LEASTS = 64
 #: Documents whose second halves differ in at most so many of the 128 bits are near copies.
 MOST_BITS = 34
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)  # of a byte's bits
 _POPCOUNT = getattr(np, "bitwise_count")
+_MULTIPLIERS = mix(np.arange(LEASTS + BLOCKS, dtype=U64), 300) | U64(1)
 
 
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's fingerprint: the first half (blocks 0 to 3, 4 to 7) and the second as 64-bit values. A text without two words is one feature, its own bytes."""
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of each text's distinct word pairs, their rows, and where each row's begin. A text without two words is one feature, its own bytes."""
     data, offsets = text_buffer(pc.utf8_lower(texts.cast(pa.string())))
     starts, ends, counts = spans(WORD[data], offsets)
     words = Rolling(data)(starts, ends)
@@ -46,21 +49,39 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     _, first = np.unique(mix(of.astype(U64), 9) ^ features, return_index=True)
     first = first[np.argsort(of[first], kind="stable")]
     features, of = features[first], of[first]
-    at = np.searchsorted(of, np.arange(len(counts)))
-    halves = np.zeros((4, len(counts)), U64)
-    for block in range(2 * BLOCKS):
+    return features, of, np.searchsorted(of, np.arange(len(counts)))
+
+
+def _bands(features: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bands of each row, 32 bits of each."""
+    with np.errstate(over="ignore"):
+        least = np.stack([np.minimum.reduceat(features * m, at) for m in _MULTIPLIERS[:LEASTS]], 1)
+        return (mix(least * U64(3) + mix(np.roll(least, -1, axis=1) * U64(3) + mix(np.roll(least, -9, axis=1)))) >> U64(32)).astype(np.uint32)
+
+
+def _halves(features: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    halves = np.zeros((4, len(at)), U64)
+    with np.errstate(over="ignore"):
+        for block, m in enumerate(_MULTIPLIERS[LEASTS:]):
+            halves[block // 4] |= (mix(np.minimum.reduceat(features * m, at)) & U64(0xFFFF)) << U64(block % 4 * 16)
+    for block in range(BLOCKS, 2 * BLOCKS):
         signs = _SIGNS[mix(features, 200 + block).view(np.uint8).reshape(-1, 8)[:, :2]]
-        if block < BLOCKS:
-            u = (mix(features, 100 + block) >> U64(40)).astype(np.float32)
-            signs = signs * (np.float32(2**24) / (u + np.float32(0.5)))[:, None, None]
         bits = np.packbits(np.add.reduceat(signs, at, axis=0) > 0, axis=2)[..., 0].astype(U64)
         halves[block // 4] |= (bits[:, 0] | bits[:, 1] << U64(8)) << U64(block % 4 * 16)
     return tuple(halves)
 
 
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's fingerprint: the first half (blocks 0 to 3, 4 to 7) and the second as 64-bit values."""
+    features, _, at = _features(texts)
+    return _halves(features, at)
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
-        yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x.view(np.int64)) for x in fingerprints(piece.column(1)))], ["doc_id", "high", "low", "first", "second"])
+        features, _, at = _features(piece.column(1))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * LEASTS), pa.array(_bands(features, at).view(np.int32).ravel()))
+        yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x.view(np.int64)) for x in _halves(features, at)), bands], ["doc_id", "high", "low", "first", "second", "bands"])
 
 
 def _forest(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +176,11 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     Very long texts are whole, and a table without rows gives none.
     """
     marked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = stable(marked.mapInArrow(_fingerprint_batches, "doc_id long, high long, low long, first long, second long").withColumn("rep", F.min("doc_id").over(Window.partitionBy("high", "low", "first", "second"))))
+    prints = stable(marked.mapInArrow(_fingerprint_batches, "doc_id long, high long, low long, first long, second long, bands array<int>").withColumn("rep", F.min("doc_id").over(Window.partitionBy("high", "low", "first", "second"))))
     blocks = [F.shiftrightunsigned(F.col("high" if j < 4 else "low"), j % 4 * 16).bitwiseAND(0xFFFF) for j in range(BLOCKS)]
     keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    spread = prints.where("doc_id = rep").select(F.explode(F.array(*keys)).alias("key"), F.col("rep"), "first", "second").distinct()
+    band_keys = F.transform("bands", lambda x, k: F.shiftleft((k + len(keys)).cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(0xFFFFFFFF)))
+    spread = prints.where("doc_id = rep").select(F.explode(F.concat(F.array(*keys), band_keys)).alias("key"), F.col("rep"), "first", "second")
     edges = prints.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = edges.union(spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_edges(most_bits), "u long, v long"))
     groups = components(edges)

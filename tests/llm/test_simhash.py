@@ -74,3 +74,23 @@ def test_large_groups_stay_whole(spark):
     rows = [(k, f"the very same words in every one of many copies with {'one' if k % 2 else 'two'} change") for k in range(500)]
     groups = {r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(groups) <= 2 and pa.array(rows[0][1:]) is not None
+
+
+def test_recall_of_isolated_pairs_by_similarity(spark):
+    draw = random.Random(7)
+    texts = []
+    for k in range(2400):  # pairs of texts that have 60 to 140 of 160 word pairs in common
+        own = [f"w{k}x{n}" for n in range(161)]
+        cut = 60 + k % 81
+        texts += [" ".join(own), " ".join(own[: cut + 1] + [f"v{k}x{n}" for n in range(160 - cut)])]
+    rows = list(enumerate(texts))
+    draw.shuffle(rows)
+    _, _, first, second = simhash.fingerprints(pa.array(texts))
+    gap = np.bitwise_count(first[::2] ^ first[1::2]).astype(int) + np.bitwise_count(second[::2] ^ second[1::2])
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = np.array([got[2 * k + 1] == 2 * k for k in range(len(gap))])
+    shared = 60 + np.arange(len(gap)) % 81
+    similarity, close = shared / (320 - shared), gap <= simhash.MOST_BITS
+    assert not found[~close].any()
+    recall = {low: (int(own.sum()), found[own].mean()) for low in (0.3, 0.4, 0.5, 0.6, 0.7) if (own := close & (similarity >= low) & (similarity < low + 0.1)).any()}
+    assert len(recall) >= 4 and all(r >= 0.9 for n, r in recall.values() if n >= 10)

@@ -58,7 +58,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of every document, the documents whose digests are near it, and the benchmark item whose digest differs least from it."""
+    """The digest and the class of every document, how many documents are near it, the nearest other class, and the benchmark item near it."""
     return digest.fingerprints(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 

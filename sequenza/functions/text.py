@@ -10,10 +10,9 @@ TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
 
 def split_words(line: Column) -> Column:
-    """The parts between white-space characters: empty ones inside stay, those at the end go."""
-    parts = F.split(line, SPACE)
-    last = F.aggregate(F.transform(parts, lambda x, k: F.when(x != "", k + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-    return F.slice(parts, 1, last)
+    """The parts between white-space characters: empty ones at the start or inside stay, those at the end go. An empty line is one empty part, a line of spaces none."""
+    cut = F.rtrim(line, F.lit(" \t\n\x0b\f\r"))
+    return F.when((cut == "") & (line != ""), F.array().cast("array<string>")).otherwise(F.split(cut, SPACE))
 
 
 def tokens(text: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,60 +68,49 @@ class Ftrl:
     l1: float = 0.0086
     l2: float = 0.095
 
-    def start(self) -> tuple[dict, dict]:
-        return {}, {}
+    def start(self) -> dict[int, np.ndarray]:
+        """No feature yet. A feature's rows are z, n and the weights that its last step computed, one of each for each class."""
+        return {}
 
-    def weights(self, state: tuple[dict, dict], idx: np.ndarray) -> np.ndarray:
-        """The weights of these features, a row for each."""
-        none = np.zeros(self.classes)
-        z, n = (np.array([part.get(int(k), none) for k in idx]).reshape(-1, self.classes) for part in state)
-        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
-
-    def learn(self, state: tuple[dict, dict], idx: np.ndarray, values: np.ndarray, label: int) -> tuple[dict, dict]:
-        """The state after one labelled row. The given state stays as it is: only the touched features are made anew."""
-        w = self.weights(state, idx)
+    def learn(self, state: dict[int, np.ndarray], idx: np.ndarray, values: np.ndarray, label: int) -> dict[int, np.ndarray]:
+        """The rows of the touched features after one labelled row; the given state stays as it is."""
+        z, n, _ = self._rows(state, idx)
+        w = np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
         scores = values @ w
         p = np.exp(scores - scores.max())
         p /= p.sum()
         gradient = values[:, None] * (p - (np.arange(self.classes) == label))
-        none = np.zeros(self.classes)
-        n = np.array([state[1].get(int(k), none) for k in idx]).reshape(-1, self.classes)
-        z = np.array([state[0].get(int(k), none) for k in idx]).reshape(-1, self.classes)
         grown = n + gradient**2
         z = z + gradient - (np.sqrt(grown) - np.sqrt(n)) / self.alpha * w
-        return state[0] | {int(k): z[j] for j, k in enumerate(idx)}, state[1] | {int(k): grown[j] for j, k in enumerate(idx)}
+        return dict(zip(map(int, idx), np.stack([z, grown, w], 1)))
 
-    def predict(self, state: tuple[dict, dict], idx: np.ndarray, values: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-(values @ self.weights(state, idx))))
+    def predict(self, state: dict[int, np.ndarray], idx: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """By the weights of each feature's last step, as they were before that step's gradient went in."""
+        p = 1 / (1 + np.exp(-(values @ self._rows(state, idx)[2])))
         return p / p.sum()
 
+    def _rows(self, state: dict[int, np.ndarray], idx: np.ndarray) -> np.ndarray:
+        none = np.zeros((3, self.classes))
+        return np.array([state.get(int(k), none) for k in idx]).reshape(-1, 3, self.classes).swapaxes(0, 1)
+
 
 def classified(rows: DataFrame, model: Ftrl, keys: list[str] = ()) -> DataFrame:
-    """(doc_id, topic, probability) of unlabelled rows, in one ordered pass that learns from labelled ones.
+    """(keys, doc_id, topic, probability) of unlabelled rows, in one pass in the order of doc_id that learns from labelled ones.
 
     rows: doc_id, idx array<long>, weight array<double>, label int or null, and the keys: each key has a learner of its own, and
-    without keys one learner sees all rows in one task. Rows before any labelled one have no prediction.
+    without keys one learner sees all rows in one task, a batch at a time. Rows before any labelled one have no prediction.
     """
+    names = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+
+    def step(row: dict, state: dict | None) -> tuple[dict | None, list[tuple]]:
+        idx, values = np.asarray(row["idx"], np.int64), np.asarray(row["weight"], float)
+        if row["label"] is None:
+            return state, [] if state is None else [(row["doc_id"], k, float(p)) for k, p in enumerate(model.predict(state, idx, values))]
+        state = model.start() if state is None else state
+        state.update(model.learn(state, idx, values, int(row["label"])))  # nothing but this pass holds the state, and a task that runs again starts afresh
+        return state, []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out, seen = model.start(), [], False
-        for row in pdf.sort_values("doc_id").itertuples():
-            idx, values = np.asarray(row.idx), np.asarray(row.weight)
-            if not pd.isna(row.label):
-                state, seen = _in_place(model, state, idx, values, int(row.label)), True
-            elif seen:
-                out += [(row.doc_id, k, float(p)) for k, p in enumerate(model.predict(state, idx, values))]
-        return pd.DataFrame(out, columns=["doc_id", "topic", "probability"])
-
-    return rows.groupBy(*keys).applyInPandas(run, "doc_id long, topic int, probability double")
-
-
-def _in_place(model: Ftrl, state: tuple[dict, dict], idx: np.ndarray, values: np.ndarray, label: int) -> tuple[dict, dict]:
-    """learn on a state that nothing else refers to: only this group's pass holds it, so a replay starts from a fresh one."""
-    z, n = model.learn(({int(k): state[0][int(k)] for k in idx if int(k) in state[0]}, {int(k): state[1][int(k)] for k in idx if int(k) in state[1]}), idx, values, label)
-    state[0].update(z)
-    state[1].update(n)
-    return state
+    return fold.stateful_flat_map(rows.select(*keys, "doc_id", "idx", "weight", "label"), list(keys), ["doc_id"], step, names + ", " * bool(keys) + "doc_id long, topic int, probability double")
 
 
 def topics_sorted(topics: Column) -> Column:

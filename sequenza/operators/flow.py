@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sequenza.operators import fold, grouping, labels
 from sequenza.operators.order import Order
@@ -27,6 +30,19 @@ class Stream:
     def with_columns(self, **columns: Column) -> Stream:
         return Stream(self.df.withColumns(columns), self.order)
 
+    def map_with(self, init: Callable[[], Any], step: Callable[[Any, dict], list[tuple]], schema: str) -> Stream:
+        """The rows that step(resource, row) gives for each row, with a resource that init() makes once in each task, such as a loaded model. Labels pass along; schema: the rows' columns."""
+        own = sorted(labels.labels_of(self.df) - set(StructType.fromDDL(schema).names))
+        fields = StructType([*StructType.fromDDL(schema).fields, *[self.df.schema[c] for c in own]])
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            resource, kinds = init(), to_arrow_schema(fields)
+            for batch in batches:
+                made = [(*x, *[row[c] for c in own]) for row in batch.to_pylist() for x in step(resource, row)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+        return Stream(self.df.mapInArrow(apply, fields), self.order)
+
     def filter(self, condition: Column | str) -> Stream:
         return Stream(self.df.where(condition), self.order)
 
@@ -75,14 +91,26 @@ class Keyed:
     def scan(self, into: str, aggregate: Column) -> Stream:
         return Stream(fold.scan(self.df, self.keys, self.order, into, aggregate), self.order)
 
-    def stateful_map(self, step: Callable[[dict, Any], tuple[Any, tuple]], schema: str) -> DataFrame:
-        return fold.stateful_map(self.df, self.keys, [str(c) for c in (*self.order.time, *self.order.custom, *self.order.lineage)], step, schema)
+    def stateful_map(self, step: Callable[[dict, Any], tuple[Any, tuple]], schema: str, order: Order | None = None) -> Stream:
+        """One row for each row, by step(row, state) -> (state, row). schema: the keys, labels among them, and the rows' columns; order: that of the result, which defaults to this one's columns that it has."""
+        return self._folded(fold.stateful_map, step, schema, order)
+
+    def stateful_flat_map(self, step: Callable[[dict, Any], tuple[Any, list[tuple]]], schema: str, order: Order | None = None) -> Stream:
+        return self._folded(fold.stateful_flat_map, step, schema, order)
+
+    def aggregate(self, fold_: Callable[[dict, Any], Any], release: Callable[[Any], tuple], schema: str, order: Order | None = None) -> Stream:
+        """release(state) after each row's fold_(row, state). What comes out is a stream, so stages chain."""
+        return self._folded(lambda df, keys, order, step, schema: fold.fold_pipeline(df, keys, order, *step, schema), (fold_, release), schema, order)
 
-    def stateful_flat_map(self, step: Callable[[dict, Any], tuple[Any, list[tuple]]], schema: str) -> DataFrame:
-        return fold.stateful_flat_map(self.df, self.keys, [str(c) for c in (*self.order.time, *self.order.custom, *self.order.lineage)], step, schema)
+    def _folded(self, how: Callable, step: Any, schema: str, order: Order | None) -> Stream:
+        out = how(self.df, self.keys, self.order.columns, step, schema)
+        kept = [[c for c in part if isinstance(c, str) and c in out.columns] for part in (self.order.time, self.order.custom, self.order.lineage)]
+        return Stream(out, order or Order(*kept))
 
 
-def run(flow: Callable[[Stream], Stream | DataFrame], source: Stream) -> DataFrame:
-    """The result of a flow over a source: a lazy plan, nothing runs until it is used."""
+def run(flow: Callable[[Stream], Stream | DataFrame], source: Stream, init: Callable[[], None] | None = None) -> DataFrame:
+    """The result of a flow over a source: a lazy plan, nothing runs until it is used. init: called once here before the flow is built."""
+    if init:
+        init()
     out = flow(source)
     return out.df if isinstance(out, Stream) else out

@@ -1,21 +1,24 @@
 """Ordered folds: one (state, output) step for each row of a key, in the total order.
 
-Algebraic folds are window aggregates or, over all rows at once, two-pass prefix sums; other folds run in Python over the key's sorted rows.
+Algebraic folds are window aggregates or, over all rows at once, two-pass prefix sums; other folds run in Python over rows that Spark has sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sequenza.functions.names import salted
 from sequenza.operators.lineage import cut
 from sequenza.operators.order import Order
 
@@ -28,13 +31,18 @@ def scan(df: DataFrame, keys: Sequence[str | Column], order: Order, into: str, a
 def running_count(df: DataFrame, keys: Sequence[str], order: Order, into: str, segment: Column) -> DataFrame:
     """The place of each row among its key's rows, from 1, without sorting a frequent key in one task.
 
-    segment: a value that never falls along the order; rows are counted within (key, segment), and the counts of earlier segments are added.
+    segment: a value that never falls along the order, null first; rows are counted within (key, segment), and the counts of earlier segments are
+    added. Null keys are a key like any other. df is computed once.
     """
-    cut_ = df.withColumn("_segment", segment)
-    sizes = cut_.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = cut_.withColumn(into, F.row_number().over(order.within([*keys, "_segment"])))
-    return local.join(before, [*keys, "_segment"]).withColumn(into, F.col(into) + F.col("_before")).drop("_segment", "_before")
+    own, n, before = salted([*df.columns, into], "segment", "n", "before")
+    same = salted([*df.columns, into, own, n, before], *[f"key{k}" for k in range(len(keys) + 1)])
+    marked = cut(df.withColumn(own, segment))
+    sizes = marked.groupBy(*keys, own).agg(F.count(F.lit(1)).alias(n))
+    earlier = F.sum(n).over(Window.partitionBy(*keys).orderBy(F.col(own).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn(before, F.coalesce(earlier, F.lit(0))).select(*[F.col(k).alias(x) for k, x in zip([*keys, own], same)], before)
+    local = marked.withColumn(into, F.row_number().over(order.within([*keys, own])))
+    joined = local.join(starts, reduce(and_, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip([*keys, own], same)]))
+    return joined.withColumn(into, F.col(into) + F.col(before)).drop(own, before, *same)
 
 
 def running_sum(df: DataFrame, order: Sequence[str], value: str, into: str) -> DataFrame:
@@ -57,25 +65,38 @@ def running_sum(df: DataFrame, order: Sequence[str], value: str, into: str) -> D
     return ranged.mapInArrow(run, StructType([*ranged.schema.fields, StructField(into, LongType())]))
 
 
-def stateful_flat_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict, Any], tuple[Any, list[tuple]]], schema: str) -> DataFrame:
+def _hashable(value: Any) -> Any:
+    """A key's value that is equal to itself: NaN is a key as null is."""
+    return "NaN" if isinstance(value, float) and value != value else value if isinstance(value, Hashable) else repr(value)
+
+
+def stateful_flat_map(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], step: Callable[[dict, Any], tuple[Any, list[tuple]]], schema: str) -> DataFrame:
     """The rows that step(row, state) -> (state, rows) gives for each row of a key in order; state starts as None. schema: the keys and the rows' columns.
 
+    Spark sorts, nulls first unless the order says otherwise; rows pass through a step in Arrow batches, so what a task holds is a batch and the state of one
+    key. Values keep their types: nulls are None, and longs stay whole. Null keys are a key like any other; without keys all rows pass through one task.
     A step must give a new state instead of changing the one it gets, so that running it again gives the same.
     """
+    fields = StructType.fromDDL(schema)
+    placed = df.repartition(*keys) if keys else df.repartition(1)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        head = tuple(pdf[k].iloc[0] for k in keys)
-        for row in pdf.sort_values(list(order), kind="stable").to_dict("records"):
-            state, made = step(row, state)
-            out += [(*head, *x) for x in made]
-        return pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(fields)
+        at, state = None, None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                head = tuple(row[k] for k in keys)
+                if (here := tuple(map(_hashable, head))) != at:
+                    at, state = here, None
+                state, rows = step(row, state)
+                made += [(*head, *x) for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
-    names = [f.name for f in StructType.fromDDL(schema).fields]
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def stateful_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict, Any], tuple[Any, tuple]], schema: str) -> DataFrame:
+def stateful_map(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], step: Callable[[dict, Any], tuple[Any, tuple]], schema: str) -> DataFrame:
     """As stateful_flat_map, with one row out for each row in."""
 
     def one(row: dict, state: Any) -> tuple[Any, list[tuple]]:
@@ -83,3 +104,27 @@ def stateful_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         return state, [made]
 
     return stateful_flat_map(df, keys, order, one, schema)
+
+
+def fold_pipeline(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], aggregate: Callable[[dict, Any], Any], release: Callable[[Any], tuple], schema: str) -> DataFrame:
+    """release(state) after each aggregate(row, state): the state is folded by one function and turned into rows by another. Folds are chained by folding the result."""
+
+    def step(row: dict, state: Any) -> tuple[Any, tuple]:
+        now = aggregate(row, state)
+        return now, release(now)
+
+    return stateful_map(df, keys, order, step, schema)
+
+
+def in_order(step: Callable[[dict, Any], tuple[Any, Any]], place: Callable[[dict], Any]) -> Callable[[dict, Any], tuple[Any, Any]]:
+    """A step that raises ValueError where a row doesn't come after the one before it, by place(row); otherwise as step."""
+
+    def guarded(row: dict, state: Any) -> tuple[Any, Any]:
+        last, own = state if state is not None else (None, None)
+        now = place(row)
+        if last is not None and now <= last:
+            raise ValueError(f"a row at {now} came after one at {last}")
+        own, made = step(row, own)
+        return (now, own), made
+
+    return guarded

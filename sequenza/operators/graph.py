@@ -13,7 +13,7 @@ def bounded_bfs(requests: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
     requests: request, vertex, path_length; edges: source, target; hops: the longest path_length. A level joins only the vertices that the level before it found first.
     """
-    links = edges.select("source", "target").distinct()
+    links = cut(edges.select("source", "target").distinct())
     frontier = requests.select("request", "vertex", F.lit(0).alias("depth"), "path_length").distinct()
     seen = frontier
     for depth in range(1, hops + 1):

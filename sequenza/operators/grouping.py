@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sequenza.functions.names import salted
 from sequenza.operators.order import Order
 
 #: The window that never ends.
@@ -31,8 +32,9 @@ def grouping(df: DataFrame, keys: Sequence[str | Column], order: Order, item: st
     if not undo_partial:
         return out
     place, size = F.row_number().over(rows), F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)])))
-    marked = out.withColumns({"_place": place, "_size": size})
-    return marked.where((F.col("_place") >= window) | ((F.col("_size") < window) & (F.col("_place") == F.col("_size")))).drop("_place", "_size")
+    at, of = salted(out.columns, "place", "size")
+    marked = out.withColumns({at: place, of: size})
+    return marked.where((F.col(at) >= window) | ((F.col(of) < window) & (F.col(at) == F.col(of)))).drop(at, of)
 
 
 def last_of_group(df: DataFrame, keys: Sequence[str | Column], order: Order, item: str | Column, into: str) -> DataFrame:

@@ -12,8 +12,8 @@ def latencies(outputs: DataFrame, group: str, started: str | Column, ended: str
     return outputs.groupBy(group).agg((F.max(end) - F.min(start)).alias("latency"))
 
 
-def percentiles(values: DataFrame, value: str, order: str, skip: int = 0, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.99), exact: bool = True) -> DataFrame:
-    """One row (p50, p75, ...) over all but the first `skip` values by order. exact=False takes bounded memory on very many values."""
+def percentiles(values: DataFrame, value: str, order: str, skip: int = 0, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.99), exact: bool = False) -> DataFrame:
+    """One row (p50, p75, ...) over all but the first `skip` values by order: approximate, within 1/10,000 of a rank and in bounded memory, unless exact, which holds all distinct values in one task."""
     kept = values if not skip else values.join(values.select(order).orderBy(order).limit(skip), order, "left_anti")
     name = lambda p: f"p{round(p * 100)}"
     return kept.agg(*[(F.percentile(value, p) if exact else F.percentile_approx(value, p, 10_000)).cast("double").alias(name(p)) for p in points])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,15 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's spark.checkpoint.dir, or where that is unset (as in tests) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        directory = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = directory.get() if directory.isDefined() else tempfile.mkdtemp(prefix="checkpoint-")
-        if not directory.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-            folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    """The folder that all executors see: the session's spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine (master local...) gets a temporary folder, removed when Python ends; on a cluster it's a RuntimeError.
+    """
+    directory = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (directory.get() if directory.isDefined() else None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir isn't set: it has to name a folder that all machines of the cluster share")
+    folder = tempfile.mkdtemp(prefix="checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -25,6 +33,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder that nothing reads any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     context = df.sparkSession.sparkContext

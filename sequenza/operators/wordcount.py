@@ -14,9 +14,8 @@ SEGMENT = 1 << 16
 
 
 def words_of(lines: DataFrame, id_: str, line: str) -> DataFrame:
-    """(id, pos, word): the words of each line in order, empty ones aside."""
-    # As all empty parts go, those at the end needn't be cut first: a plain split stays in generated code.
-    return lines.select(F.col(id_), F.posexplode(F.split(F.col(line), text.SPACE)).alias("pos", "word")).where("word <> ''")
+    """(id, pos, word): the parts of each line between white-space characters in order. Empty ones before and between others are words too, those at the end aren't."""
+    return lines.select(F.col(id_), F.posexplode(text.split_words(F.col(line))).alias("pos", "word"))
 
 
 def running(words: DataFrame, id_: str) -> DataFrame:

@@ -10,14 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sequenza.functions import keys, positions, text
+from sequenza.functions import keys, positions, text, times
 from sequenza.operators import classify, fold, graph, grouping, index, labels, latency, ranking, wordcount
 from sequenza.operators.flow import Stream
+from sequenza.operators.lineage import cut, fresh_path
 from sequenza.operators.order import Order
 from sequenza.plans.oracles import ORACLES
-from sequenza.sources.readers import stream, table
+from sequenza.sources.readers import pages_xml, table
 from sequenza.streaming import stateful
-from sequenza.streaming.run import drained
+from sequenza.streaming.run import ROCKSDB, counted_by_time, drained, replayed, window_contents
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EVENT_ORDER = Order(["ts"], (), ["event_id"])
@@ -223,6 +224,47 @@ def stateful_map_general(spark, d):
     return fold.stateful_map(rows, ["user_id"], ["ts", "event_id"], step, "user_id long, event_id long, state long")
 
 
+@query
+def stateful_map_desc_order(spark, d):
+    """A fold over rows in falling order: the first event of the order so far, and the place."""
+    order = Order([], [F.desc("value")], ["event_id"])
+
+    def step(row, state):
+        top, n = state or (row["event_id"], 0)
+        return (top, n + 1), (row["event_id"], top, n + 1)
+
+    keyed = Stream(table(spark, d, "events").select("user_id", "event_id", "value"), EVENT_ORDER).key_by("user_id", order=order)
+    return keyed.stateful_map(step, "user_id long, event_id long, top long, place long").df
+
+
+@query
+def stateful_map_nulls(spark, d):
+    """Null keys and null values beside longs that a double can't hold."""
+    kind, big = F.nullif("event_type", F.lit("view")), F.when(F.col("event_id") % 5 != 0, F.lit(9007199254740993) + F.col("event_id"))
+    rows = table(spark, d, "events").select(kind.alias("kind"), "ts", "event_id", big.alias("big"))
+
+    def step(row, state):
+        now = (state or 0) + (row["big"] or 0)
+        return now, (row["event_id"], now)
+
+    return fold.stateful_map(rows, ["kind"], ["ts", "event_id"], step, "kind string, event_id long, total long")
+
+
+@query
+def chained_folds(spark, d):
+    """A fold of what a fold released: the place of an event among its user's, and the sum of those places by kind of event."""
+    s = _events(spark, d).key_by("user_id").aggregate(lambda row, n: (n[0] + 1 if n else 1, row), lambda state: (state[1]["event_type"], state[1]["ts"], state[1]["event_id"], state[0]), "user_id long, event_type string, ts timestamp, event_id long, n long")
+    total = s.key_by("event_type").aggregate(lambda row, state: ((state[0] if state else 0) + row["n"], row), lambda state: (state[1]["event_id"], state[1]["n"], state[0]), "event_type string, event_id long, n long, total long")
+    return total.df
+
+
+@query
+def running_count_null_keys(spark, d):
+    """Running counts by segments where some keys are null."""
+    rows = table(spark, d, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"))
+    return fold.running_count(rows, ["kind"], Order(["event_id"]), "n", F.floor(F.col("event_id") / 100)).select("event_id", "n")
+
+
 @query
 def stateful_flat_map_sessions(spark, d):
     """No output or one for each row: the rows of a user after every third event, with how many came so far."""
@@ -315,7 +357,7 @@ def word_positions(spark, d):
 
 @query
 def packed_positions(spark, d):
-    return index.packed(_pages(spark, d)).select("page", "version", "word", F.col("packed")[0].alias("first"), F.size("packed").alias("n"))
+    return index.packed(_pages(spark, d)).select("page", "version", "word", _joined(F.col("packed").cast("array<string>")).alias("packed"))
 
 
 @query
@@ -343,16 +385,15 @@ def index_final(spark, d):
     return index.state(_pages(spark, d))
 
 
-def _query_terms(docs: DataFrame) -> DataFrame:
+def _query_terms(postings: DataFrame) -> DataFrame:
     """The three words of most documents among those in fewer than a third of them."""
-    tokens = docs.select("page", F.explode(F.array_distinct(text.index_tokens(F.col("text")))).alias("word"))
-    n = docs.agg(F.count("*").alias("n"))
-    return tokens.groupBy("word").agg(F.count("*").alias("df")).crossJoin(n).where("df * 3 < n").orderBy(F.desc("df"), "word").limit(3).select("word")
+    n = postings.agg(F.count_distinct("page").alias("n"))
+    return postings.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("df")).crossJoin(n).where("df * 3 < n").orderBy(F.desc("df"), "word").limit(3).select("word")
 
 
 def _ranked(spark, d, all_docs: bool) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")
-    return ranking.bm25(docs, _query_terms(docs), all_docs).select("page", F.round("score", 9).alias("score"))
+    postings = cut(ranking.postings(table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")))
+    return ranking.bm25(postings, _query_terms(postings), all_docs).select("page", F.round("score", 9).alias("score"))
 
 
 @query
@@ -385,9 +426,13 @@ def term_frequency(spark, d):
 
 @query
 def split_labeled(spark, d):
-    """Documents with a label and those without, each a scope of its own."""
-    docs = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return docs.withColumn("label_doc", F.col("doc_id")).select("label_doc", F.col("quality").isNotNull().alias("labeled"))
+    """Documents with a label and those without, each a label scope of its own, and the tokens counted in each scope."""
+    docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    s = Stream(docs, Order(["doc_id"]))
+    known, unknown = s.filter("quality IS NOT NULL").spawn_label("known", "doc_id"), s.filter("quality IS NULL").spawn_label("unknown", "doc_id")
+    words = [x.flat_map(text.tokens(F.col("text")), "word", "pos") for x in (known, unknown)]
+    counts = [labels.require_labels(x.df, [n]).groupBy(f"label_{n}").agg(F.count("*").alias("n")) for x, n in zip(words, ("known", "unknown"))]
+    return counts[0].unionByName(counts[1], allowMissingColumns=True)
 
 
 @query
@@ -417,17 +462,17 @@ def windowed_tfidf(spark, d):
 def vectorized(spark, d):
     """Words numbered by a vocabulary; those outside are 0."""
     counts = classify.term_counts(table(spark, d, "documents"))
-    vectors = classify.vectorized(counts, classify.vocabulary_of(counts, 20))
+    vectors = classify.vectorized(counts, classify.vocabulary_of(counts))
     return vectors.groupBy("doc_id", "idx").agg(F.sum("tf").alias("tf"))
 
 
 @query
 def ftrl_predictions(spark, d):
     """Topics of unlabelled documents by one online learner over all documents in order."""
-    counts = _df(spark, d)
+    counts = cut(_df(spark, d))
     weights = classify.tfidf(counts, F.col("doc_id") + 1)
-    vocabulary = classify.vocabulary_of(counts, 20)
-    known = weights.join(vocabulary, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("x"))
+    vectors = classify.vectorized(weights, classify.vocabulary_of(counts)).groupBy("doc_id", "idx").agg(F.sum("weight").alias("weight"))
+    known = vectors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("x"))
     rows = known.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
     out = classify.classified(rows.select("doc_id", F.col("x.idx").alias("idx"), F.col("x.weight").alias("weight"), "label"), classify.Ftrl(2))
     return out.select("doc_id", "topic", F.round("probability", 6).alias("probability"))
@@ -440,9 +485,9 @@ def one_vs_rest_baseline(spark, d):
     from pyspark.ml.feature import HashingTF, StringIndexer
 
     docs = table(spark, d, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("tokens"))
-    rows = HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 10).transform(docs)
+    rows = HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 18).transform(docs)
     rows = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc").fit(docs).transform(rows)
-    model = OneVsRest(classifier=LogisticRegression(maxIter=5, regParam=0.001, elasticNetParam=1.0), parallelism=4).fit(rows)
+    model = OneVsRest(classifier=LogisticRegression(regParam=0.001, elasticNetParam=1.0), parallelism=4).fit(rows)
     return model.transform(rows).select("doc_id", "label", "prediction")
 
 
@@ -460,8 +505,9 @@ def _requests(spark, d, hops: int) -> DataFrame:
 
 @query
 def bfs_two_hops(spark, d):
-    """How many parts come into reach of each part at each depth."""
-    return graph.bounded_bfs(_requests(spark, d, 2), _edges(spark, d), 2).groupBy("request", "depth").agg(F.count("*").alias("n"))
+    """The parts that come into reach of each part at each depth, as their number and sums over them."""
+    vertex = F.col("vertex")
+    return graph.bounded_bfs(_requests(spark, d, 2), _edges(spark, d), 2).groupBy("request", "depth").agg(F.count("*").alias("n"), F.sum(vertex).alias("total"), F.sum(vertex * vertex % 1000003).alias("squares"))
 
 
 @query
@@ -490,7 +536,7 @@ def bfs_mutable_edges(spark, d):
 def latency_percentiles(spark, d):
     """Percentiles of how long a user's outputs took, the first 20 users aside."""
     each = latency.latencies(table(spark, d, "events"), "user_id", "ts", "ts")
-    return latency.percentiles(each, "latency", "user_id", skip=20)
+    return latency.percentiles(each, "latency", "user_id", skip=20, exact=True)
 
 
 @query
@@ -505,48 +551,65 @@ def arrival_gaps(spark, d):
     return table(spark, d, "events").select("event_id", F.round(latency.arrival_gap(uniform, 400.0), 6).alias("gap"))
 
 
-# Streams, run to the end of what is there
+# Streams in several files that are read one at a time, most with rows that come too late to be in order, run to the end of what is there
+
+#: Seconds that a row of a replayed table may be late, and the delay that lets it in.
+JITTER, DELAY = 86_400, "1 day"
+
+
+def _late_events(spark, d, *columns: str) -> DataFrame:
+    return replayed(table(spark, d, "events").select(*columns), "ts", 4, JITTER)[1]
 
 
 @query
 def streaming_map_filter(spark, d):
     """Stateless steps over a stream, without any barrier."""
-    return drained(stream(spark, f"{d}/events.parquet").where("event_type <> 'view' AND value >= 10").select("event_id", "event_type"))
+    return drained(_late_events(spark, d, "event_id", "ts", "event_type", "value").where("event_type <> 'view' AND value >= 10").select("event_id", "event_type"))
 
 
 @query
 def streaming_wordcount(spark, d):
-    words = wordcount.words_of(stream(spark, f"{d}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
-    return drained(words.groupBy("word").count(), mode="complete")
+    docs = replayed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 3, end=False)[1]
+    return drained(wordcount.words_of(docs, "doc_id", "text").groupBy("word").count(), mode="complete")
 
 
 @query
 def streaming_grouping(spark, d):
-    out = stateful.grouping(stream(spark, f"{d}/events.parquet").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", 3)
+    """Count windows over rows that arrive out of order."""
+    out = stateful.grouping(_late_events(spark, d, "user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", 3, "ts", DELAY)
     return drained(out).select("event_id", F.col("window").alias("items"))
 
 
 @query
 def streaming_running_count(spark, d):
-    out = stateful.running_count(stream(spark, f"{d}/events.parquet").select("event_type", "ts", "event_id"), "event_type", ["ts", "event_id"])
+    out = stateful.running_count(_late_events(spark, d, "event_type", "ts", "event_id"), "event_type", ["ts", "event_id"], time="ts", delay=DELAY)
     return drained(out).select("event_id", "count")
 
 
 @query
 def streaming_fold(spark, d):
-    """The fold of stateful_map_general over a stream."""
+    """The fold of stateful_map_general over a stream, its state in RocksDB."""
 
     def step(row, state):
         now = ((state or 7) * 31 + row["cents"]) % 1_000_003
         return now, (row["event_id"], now)
 
-    rows = stream(spark, f"{d}/events.parquet").select("user_id", "ts", "event_id", _cents("value").alias("cents"))
-    return drained(stateful.fold(rows, "user_id", ["ts", "event_id"], step, "user_id long, event_id long, state long"))
+    rows = _late_events(spark, d, "user_id", "ts", "event_id", "value").select("user_id", "ts", "event_id", _cents("value").alias("cents"))
+    return drained(stateful.fold(rows, "user_id", ["ts", "event_id"], step, "user_id long, event_id long, state long", "ts", DELAY), state=ROCKSDB)
+
+
+@query
+def streaming_label_markers(spark, d):
+    """The lines of each document as they arrive, and a marker once no more can come."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("label_doc"), F.timestamp_seconds(1_600_000_000 + F.col("doc_id") * 60).alias("ts"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    stream_ = replayed(lines.select("label_doc", "ts", "pos", F.length("line").alias("n_chars")), "ts", 3, 3600)[1]
+    out = drained(stateful.label_markers(stream_, "label_doc", "ts", "1 hour")).where("label_doc IS NOT NULL")
+    return out.select("label_doc", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("n_chars", F.lit(-1)).alias("n_chars"), "is_marker")
 
 
 @query
 def streaming_index_diff(spark, d):
-    """The inverted index over a stream of page versions: one entry for each word of each version, with what it replaces."""
+    """The inverted index over a stream of page versions: one entry for each word of each version, with what it replaces. A version that comes after a later one is an error."""
 
     def step(row, state):
         seen = state or {}  # the state of this run alone: what is kept is written after the last row
@@ -554,7 +617,8 @@ def streaming_index_diff(spark, d):
         seen[row["word"]] = (row["first"], row["n"])
         return seen, (row["version"], row["word"], row["first"], row["n"], *old)
 
-    turns = stream(spark, f"{d}/conversations.parquet").select(F.col("conv_id").alias("page"), (F.col("turn") + 1).alias("version"), text.index_tokens(F.col("text")).alias("tokens"))
+    turns = replayed(table(spark, d, "conversations").select("conv_id", "turn", "text"), "turn", 3, end=False)[1]
+    turns = turns.select(F.col("conv_id").alias("page"), (F.col("turn") + 1).alias("version"), text.index_tokens(F.col("text")).alias("tokens"))
     words = turns.select("page", "version", "tokens", F.explode(F.array_distinct("tokens")).alias("word"))
     n = F.size("tokens") - F.size(F.array_remove("tokens", F.col("word")))
     rows = words.select("page", "version", "word", (F.array_position("tokens", F.col("word")) - 1).cast("int").alias("first"), n.alias("n"))
@@ -563,6 +627,24 @@ def streaming_index_diff(spark, d):
 
 @query
 def streaming_time_windows(spark, d):
-    """Event-time windows over a stream, complete once the stream has ended."""
-    events = stream(spark, f"{d}/events.parquet")
-    return drained(events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).selectExpr("window.start AS start", "event_type", "n"), mode="complete")
+    """Event-time windows over a stream, each given out once the watermark has passed it."""
+    return times.unzoned(drained(counted_by_time(times.zoned(_late_events(spark, d, "ts", "event_type"), "ts"), "ts", "event_type", "1 day", DELAY)), "start")
+
+
+@query
+def streaming_window_contents(spark, d):
+    """The events of each day in order, once the day is over."""
+    out = window_contents(times.zoned(_late_events(spark, d, "ts", "event_id"), "ts"), "ts", "1 day", DELAY, ["ts", "event_id"], "event_id")
+    return times.unzoned(drained(out), "start").select("start", _joined(F.col("items").cast("array<string>")).alias("items"))
+
+
+# Sources
+
+
+@query
+def pages_from_xml(spark, d):
+    """Page versions written as an XML dump and read again."""
+    path = fresh_path(spark, "pages")
+    rows = table(spark, d, "conversations").where("trim(text) <> ''").select(F.col("conv_id").alias("_id"), F.concat(F.lit("conversation "), "conv_id").alias("_title"), F.col("text").alias("_VALUE"), "turn")
+    rows.coalesce(1).sortWithinPartitions("_id", "turn").drop("turn").write.format("xml").option("rowTag", "page").option("rootTag", "pages").save(path)
+    return pages_xml(spark, path).select("page", "version", "title", F.length("text").alias("n_chars"))

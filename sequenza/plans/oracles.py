@@ -2,10 +2,11 @@
 
 TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')"
 LOWER = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
-WORDS = r"""word_of AS (
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+WORDS = rf"""words AS (
   SELECT doc_id, unnest(p) AS word, generate_subscripts(p, 1) - 1 AS pos
-  FROM (SELECT doc_id, string_split_regex(text, '[ \t\n\x0B\f\r]') AS p FROM documents)
-), words AS (SELECT * FROM word_of WHERE word <> '')"""
+  FROM (SELECT doc_id, CASE WHEN text <> '' AND rtrim(text, {BLANKS}) = '' THEN [] ELSE string_split_regex(rtrim(text, {BLANKS}), '[ \t\n\x0B\f\r]') END AS p FROM documents)
+)"""
 TF = f"tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) GROUP BY ALL)"
 DF = f"{TF}, df AS (SELECT *, count(*) OVER (PARTITION BY word ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS df FROM tf)"
 PAGES = f"""tok AS (SELECT conv_id AS page, turn + 1 AS version, {LOWER} AS p FROM conversations),
@@ -79,6 +80,10 @@ ORACLES = {
     "running_extremes": f"SELECT event_id, min(CAST(round(value * 100) AS BIGINT)) OVER {EVENTS.format('UNBOUNDED')} AS low, max(CAST(round(value * 100) AS BIGINT)) OVER {EVENTS.format('UNBOUNDED')} AS high FROM events",
     "last_value_state": "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last FROM events",
     "stateful_map_general": FOLD,
+    "stateful_map_desc_order": "SELECT user_id, event_id, first_value(event_id) OVER w AS top, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING)",
+    "stateful_map_nulls": "SELECT kind, event_id, CAST(sum(coalesce(big, 0)) OVER (PARTITION BY kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT nullif(event_type, 'view') AS kind, ts, event_id, CASE WHEN event_id % 5 <> 0 THEN 9007199254740993 + event_id END AS big FROM events)",
+    "chained_folds": "SELECT event_type, event_id, n, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
+    "running_count_null_keys": "SELECT event_id, row_number() OVER (PARTITION BY nullif(event_type, 'view') ORDER BY event_id) AS n FROM events",
     "stateful_flat_map_sessions": "SELECT user_id, event_id, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 3 = 0",
     "label_scope_counts": f"SELECT doc_id AS label_doc, word, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) GROUP BY ALL",
     "label_markers": f"WITH {MARKERS} SELECT label_doc, CAST(pos AS INT) AS pos, CAST(length(line) AS INT) AS n_chars, false AS is_marker FROM line UNION ALL SELECT doc_id, -1, -1, true FROM documents",
@@ -89,7 +94,7 @@ ORACLES = {
     "wordcount_top10": f"WITH {WORDS} SELECT word, count(*) AS count FROM words GROUP BY ALL ORDER BY count DESC, word LIMIT 10",
     "wordcount_bucketed_top5": f"WITH {WORDS} SELECT word, count(*) AS count FROM words GROUP BY ALL ORDER BY count DESC, word LIMIT 5",
     "word_positions": f"WITH {PAGES} SELECT page, CAST(version AS INT) AS version, word, array_to_string(positions, ',') AS positions FROM pages_",
-    "packed_positions": f"WITH {PAGES} SELECT page, CAST(version AS INT) AS version, word, {PACK('page', 'first', 'version')} AS first, CAST(n AS INT) AS n FROM pages_",
+    "packed_positions": f"WITH {PAGES} SELECT page, CAST(version AS INT) AS version, word, array_to_string(list_transform(positions, lambda p: {PACK('page', 'p', 'version')}), ',') AS packed FROM pages_",
     "unpacked_positions": f"WITH {PAGES} SELECT word, CAST(page AS INT) AS page, CAST(arg_max(first, version) AS INT) AS position, CAST(max(version) AS INT) AS version, CAST(arg_max(n, version) AS INT) AS range FROM pages_ GROUP BY page, word",
     "index_diff": f"""WITH {DIFFS}
 SELECT word, page, CAST(version AS INT) AS version, 'add' AS op, CAST(-1 AS BIGINT) AS start, CAST(-1 AS INT) AS range, array_to_string(list_transform(positions, lambda p: {PACK('page', 'p', 'version')}), ',') AS positions FROM seen
@@ -100,16 +105,16 @@ UNION ALL SELECT word, page, CAST(version AS INT), 'remove', {PACK('page', 'old_
     "bm25_all_docs": f"WITH {BM25} SELECT page, round(coalesce(score, 0), 9) AS score FROM sizes LEFT JOIN score USING (page)",
     "ranking_latest_versions": "SELECT conv_id AS page, CAST(count(*) AS INT) AS version, CAST(length(arg_max(text, turn)) AS INT) AS n_chars FROM conversations GROUP BY conv_id",
     "term_frequency": f"WITH {TF} SELECT * FROM tf",
-    "split_labeled": "SELECT doc_id AS label_doc, quality IS NOT NULL AS labeled FROM documents LEFT JOIN labels USING (doc_id)",
+    "split_labeled": f"WITH w AS (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) SELECT CASE WHEN quality IS NOT NULL THEN doc_id END AS label_known, CASE WHEN quality IS NULL THEN doc_id END AS label_unknown, count(*) AS n FROM w LEFT JOIN labels USING (doc_id) GROUP BY doc_id, quality",
     "running_df": f"WITH {DF} SELECT doc_id, word, df FROM df",
     "tfidf": f"WITH {DF}, raw AS (SELECT doc_id, word, tf * ln((doc_id + 1) / df) + 1 AS v FROM df) SELECT doc_id, word, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw",
     "decayed_idf": f"WITH {TF}, b AS (SELECT word, doc_id // 200 AS b FROM tf) SELECT word, round(sum(pow(0.761, (SELECT max(b) FROM b) - b)), 6) AS df FROM b GROUP BY word",
     "windowed_tfidf": f"WITH {TF}, raw AS (SELECT doc_id, word, tf / sum(tf) OVER (PARTITION BY doc_id) * ln((SELECT count(*) FROM documents) / count(*) OVER (PARTITION BY word)) AS v FROM tf) SELECT doc_id, word, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw",
-    "vectorized": f"WITH {TF}, v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS idx FROM tf GROUP BY word HAVING count(*) >= 20) SELECT doc_id, coalesce(idx, 0) AS idx, CAST(sum(tf) AS BIGINT) AS tf FROM tf LEFT JOIN v USING (word) GROUP BY ALL",
+    "vectorized": f"WITH {TF}, v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS idx FROM tf GROUP BY word HAVING count(*) >= 2) SELECT doc_id, coalesce(idx, 0) AS idx, CAST(sum(tf) AS BIGINT) AS tf FROM tf LEFT JOIN v USING (word) GROUP BY ALL",
     "bfs_two_hops": f"""WITH RECURSIVE {EDGES}, walk AS (
   SELECT p_partkey AS request, p_partkey AS vertex, 0 AS depth FROM part
   UNION ALL SELECT DISTINCT request, target, depth + 1 FROM walk JOIN edges ON vertex = source WHERE depth < 2
-) SELECT request, depth, count(*) AS n FROM (SELECT request, vertex, min(depth) AS depth FROM walk GROUP BY ALL) GROUP BY ALL""",
+) SELECT request, depth, count(*) AS n, CAST(sum(vertex) AS BIGINT) AS total, CAST(sum(vertex * vertex % 1000003) AS BIGINT) AS squares FROM (SELECT request, vertex, min(depth) AS depth FROM walk GROUP BY ALL) GROUP BY ALL""",
     "bfs_with_markers": f"""WITH {EDGES}, s AS (SELECT p_partkey AS r FROM part)
 SELECT r AS request, r AS vertex, 0 AS depth, false AS is_marker FROM s UNION ALL SELECT r, target, 1, false FROM s JOIN edges ON r = source WHERE target <> r UNION ALL SELECT r, -1, -1, true FROM s""",
     "bfs_mutable_edges": """WITH ask AS (SELECT event_id AS request, user_id AS vertex, ts FROM events WHERE event_type = 'purchase'),
@@ -128,5 +133,8 @@ SELECT CAST(quantile_cont(l, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(l, 0.75)
     "streaming_running_count": "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS count FROM events",
     "streaming_fold": FOLD,
     "streaming_index_diff": f"WITH {DIFFS} SELECT word, page, CAST(version AS BIGINT) AS version, CAST(first AS INT) AS first, CAST(n AS INT) AS n, CAST(coalesce(old_first, -1) AS INT) AS old_first, CAST(coalesce(old_n, -1) AS INT) AS old_n FROM seen",
+    "streaming_label_markers": f"WITH {MARKERS} SELECT label_doc, CAST(pos AS INT) AS pos, CAST(length(line) AS INT) AS n_chars, false AS is_marker FROM line UNION ALL SELECT doc_id, -1, -1, true FROM documents",
+    "streaming_window_contents": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, string_agg(event_id, ',' ORDER BY ts, event_id) AS items FROM events GROUP BY ALL",
+    "pages_from_xml": "SELECT conv_id AS page, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS version, 'conversation ' || conv_id AS title, CAST(length(text) AS INT) AS n_chars FROM conversations WHERE trim(text) <> ''",
     "streaming_time_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

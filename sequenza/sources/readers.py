@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 NEWS = "url string, title string, text string, other string, label string"
-PAGES = "id long, title string, revision struct<text: string>"
+PAGES = "_id long, _title string, _VALUE string, id long, title string, revision struct<text: string>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,9 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def pages_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(page, version, title, text) of a page dump: an element `page` for each version, numbered from 1 by its place in the dump."""
-    rows = spark.read.format("xml").option("rowTag", "page").schema(PAGES).load(path)
-    placed = rows.select(F.col("id").alias("page"), "title", F.col("revision.text").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    """(page, version, title, text) of a page dump: an element `page` for each version, numbered from 1 by its place in the dump.
+
+    Both kinds of dump are read: <page id="1" title="A">text</page>, and pages with elements id, title and revision/text.
+    """
+    rows = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", False).schema(PAGES).load(path)
+    body = F.when(F.col("_id").isNotNull(), F.coalesce("_VALUE", F.lit(""))).otherwise(F.col("revision.text"))
+    placed = rows.select(F.coalesce("_id", "id").alias("page"), F.coalesce("_title", "title").alias("title"), body.alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     # The ids rise within a block of a file, so this order is that of the dump however it is split.
     return placed.withColumn("version", F.row_number().over(Window.partitionBy("page").orderBy("file", "block", "place"))).select("page", "version", "title", "text")
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sequenza.functions import keys, positions, text
-from sequenza.operators import classify, fold, graph, grouping, labels, ranking, wordcount
+from sequenza.operators import classify, fold, graph, grouping, labels, lineage, ranking, wordcount
 from sequenza.operators.flow import Stream
+from sequenza.operators.flow import run as flow_run
 from sequenza.operators.order import Order
 
 SCHEMA = "t long, k string, v long"
@@ -95,8 +96,8 @@ def test_keys_and_hashes(spark):
 
 
 def test_split_drops_only_trailing_empties(spark):
-    df = spark.createDataFrame([(" a  b \t",), ("",), (None,), ("x",)], "s string")
-    assert [r[0] for r in df.select(text.split_words(F.col("s"))).collect()] == [["", "a", "", "b"], [], None, ["x"]]
+    df = spark.createDataFrame([(" a  b \t",), ("",), (None,), ("x",), (" \n",)], "s string")
+    assert [r[0] for r in df.select(text.split_words(F.col("s"))).collect()] == [["", "a", "", "b"], [""], None, ["x"], []]
 
 
 def test_positions_round_trip(spark):
@@ -125,22 +126,127 @@ def test_merge_tops(spark):
 
 def test_bm25_leaves_out_common_terms_and_ranks_all(spark):
     docs = spark.createDataFrame([(1, "aa bb"), (2, "aa cc cc"), (3, "aa"), (4, "")], "page long, text string")
-    got = [(r["page"], round(r["score"], 6)) for r in ranking.bm25(docs, spark.createDataFrame([("cc",), ("aa",)], "word string")).collect()]
+    got = [(r["page"], round(r["score"], 6)) for r in ranking.bm25(ranking.postings(docs), spark.createDataFrame([("cc",), ("aa",)], "word string")).collect()]
     assert got[0][0] == 2 and got[0][1] > 0 and [p for p, s in got[1:]] == [1, 3, 4] and all(s == 0 for _, s in got[1:])
 
 
-def test_ftrl_learns_and_keeps_the_given_state():
-    m = classify.Ftrl(2, alpha=1.0)
-    state = m.start()
+def plain_ftrl(rows, classes, alpha, beta, l1, l2):
+    """The online learner by loops over classes and features: predictions use the weights as the last step left them."""
+    z, n, w, out = {}, {}, {}, []
+    for idx, values, label in rows:
+        if label is None:
+            scores = [1 / (1 + np.exp(-sum(v * w.get((k, i), 0) for i, v in zip(idx, values)))) for k in range(classes)]
+            out.append([s / sum(scores) for s in scores])
+            continue
+        for k in range(classes):
+            for i in idx:
+                zed = z.get((k, i), 0.0)
+                w[k, i] = -(zed - np.sign(zed) * l1) / ((beta + np.sqrt(n.get((k, i), 0.0))) / alpha + l2) if abs(zed) > l1 else 0.0
+        p = [np.exp(sum(v * w[k, i] for i, v in zip(idx, values))) for k in range(classes)]
+        for k in range(classes):
+            for i, v in zip(idx, values):
+                g = (p[k] / sum(p) - (k == label)) * v
+                old = n.get((k, i), 0.0)
+                z[k, i] = z.get((k, i), 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / alpha * w[k, i]
+                n[k, i] = old + g * g
+    return out
+
+
+def test_ftrl_as_loops_and_accurate(spark):
     draw = np.random.default_rng(1)
-    for _ in range(200):
-        y = int(draw.integers(2))
-        before = {k: v.copy() for k, v in state[0].items()}
-        new = m.learn(state, np.array([y, 5]), np.array([1.0, 0.3]), y)
-        assert all((state[0][k] == v).all() for k, v in before.items())
-        state = new
-    assert m.predict(state, np.array([1, 5]), np.array([1.0, 0.3]))[1] > 0.8
-    assert abs(m.predict(state, np.array([0]), np.array([1.0])).sum() - 1) < 1e-9
+    rows = []
+    for doc in range(300):
+        topic = int(draw.integers(3))
+        idx = sorted({int(x) for x in draw.integers(topic * 20, topic * 20 + 40, 12)})
+        rows.append((doc, idx, [float(x) for x in draw.random(len(idx))], topic if doc % 3 else None, topic))
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, idx array<long>, weight array<double>, label int").repartition(5)
+    got = {}
+    for r in classify.classified(df, classify.Ftrl(3)).collect():
+        got.setdefault(r["doc_id"], {})[r["topic"]] = r["probability"]
+    expected = plain_ftrl([(i, v, y) for _, i, v, y, _ in rows], 3, 132.0, 0.1, 0.0086, 0.095)
+    unlabelled = [r for r in rows if r[3] is None]
+    assert set(got) == {r[0] for r in unlabelled[1:]}  # the first row comes before any labelled one
+    for (doc, *_), p in zip(unlabelled[1:], expected[1:]):
+        assert np.allclose([got[doc][k] for k in range(3)], p)
+    right = [max(got[r[0]], key=got[r[0]].get) == r[4] for r in unlabelled[1:]]
+    assert np.mean(right[len(right) // 2 :]) > 0.6
+
+
+def test_topics_by_probability(spark):
+    df = spark.createDataFrame([([(0, 0.2), (1, 0.5), (2, 0.3)],)], "t array<struct<id: int, probability: double>>")
+    assert [x["id"] for x in df.select(classify.topics_sorted(F.col("t")).alias("t")).first()["t"]] == [1, 2, 0]
+
+
+def test_scores_agree_within_epsilon(spark):
+    df = spark.createDataFrame([(1.0, 1.0 + 1e-12), (1.0, 1.001)], "a double, b double")
+    assert [r[0] for r in df.select(ranking.same_score(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_folds_with_nulls_and_falling_orders(spark):
+    big = 9007199254740993
+    rows = [(None, 3, big), ("a", 1, None), (None, 1, big + 2), ("a", None, big), (None, 2, None)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("t long, k string", "k string, t long"))
+    step = lambda row, state: (n := (state or 0) + 1, (row["t"], n, row["v"]))
+    got = sorted(map(tuple, fold.stateful_map(df, ["k"], ["t"], step, "k string, t long, n int, v long").collect()), key=str)
+    assert got == sorted([(None, 1, 1, big + 2), (None, 2, 2, None), (None, 3, 3, big), ("a", None, 1, big), ("a", 1, 2, None)], key=str)
+    falling = Stream(df, Order([], [F.desc("v")])).key_by("k").stateful_map(step, "k string, t long, n int, v long")
+    assert sorted((str(r["k"]), r["n"], r["t"]) for r in falling.df.collect()) == [("None", 1, 1), ("None", 2, 3), ("None", 3, 2), ("a", 1, None), ("a", 2, 1)]
+    counted = fold.running_count(df.withColumn("_segment", F.lit(1)).withColumn("_n", F.lit(2)), ["k"], Order(["t"]), "n", F.floor(F.col("t") / 2))
+    assert sorted((str(r["k"]), str(r["t"]), r["n"], r["_segment"], r["_n"]) for r in counted.collect()) == [("None", "1", 1, 1, 2), ("None", "2", 2, 1, 2), ("None", "3", 3, 1, 2), ("a", "1", 2, 1, 2), ("a", "None", 1, 1, 2)]
+    assert fold.stateful_map(df.limit(0), ["k"], ["t"], step, "k string, t long, n int, v long").count() == 0
+    assert fold.stateful_map(df, [], ["t", "v"], lambda row, s: ((s or 0) + 1, ((s or 0) + 1,)), "n int").agg(F.max("n")).first()[0] == 5
+
+
+def test_a_long_key_passes_by_in_batches(spark):
+    df = spark.range(30_000).selectExpr("id % 2 AS k", "id AS t")
+    got = fold.stateful_map(df, ["k"], [F.desc("t")], lambda row, s: ((s or 0) + 1, (row["t"], (s or 0) + 1)), "k long, t long, n long")
+    assert got.where("n = (30000 - t + 1) DIV 2").count() == 30_000
+
+
+def test_order_violations_are_errors(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1)], "k string, t long")
+    step = fold.in_order(lambda row, s: (None, (row["t"],)), lambda row: row["t"])
+    with pytest.raises(Exception, match="came after"):
+        fold.stateful_map(df, ["k"], ["t"], step, "k string, t long").collect()
+
+
+def test_user_columns_stay_with_partial_windows(spark):
+    df = spark.createDataFrame([(t, "a", t) for t in range(5)], SCHEMA).withColumns({"_place": F.lit(7), "_SIZE": F.lit(8)})
+    got = grouping.grouping(df, ["k"], Order(["t"]), "v", 3, True)
+    assert [(r["window"], r["_place"], r["_SIZE"]) for r in got.orderBy("t").collect()] == [([0, 1, 2], 7, 8), ([1, 2, 3], 7, 8), ([2, 3, 4], 7, 8)]
+
+
+def test_chained_folds_keep_labels(spark):
+    s = Stream(spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, "a", 7)], SCHEMA), Order(["t"])).spawn_label("l", "k")
+    one = s.key_by(labelled=["l"]).stateful_map(lambda row, n: ((n or 0) + row["v"], (row["t"], (n or 0) + row["v"])), "label_l string, t long, sum long")
+    two = one.key_by(labelled=["l"]).aggregate(lambda row, n: ((n[0] if n else 0) + row["sum"], row["t"]), lambda n: (n[1], n[0]), "label_l string, t long, total long")
+    assert sorted(map(tuple, labels.require_labels(two.df, ["l"]).collect())) == [("a", 1, 5), ("a", 3, 17), ("b", 2, 6)]
+
+
+def test_init_runs_once_in_each_task_and_flow(spark):
+    s = Stream(spark.range(100).selectExpr("id AS t", "id AS label_x").repartition(4), Order(["t"]))
+    made = s.map_with(lambda: {"id": random.random()}, lambda resource, row: [(row["t"], resource["id"])] * (row["t"] % 2), "t long, model double")
+    rows = made.df.collect()
+    assert len(rows) == 50 and len({r["model"] for r in rows}) <= 4 and all(r["label_x"] == r["t"] for r in rows)
+    calls = []
+    assert flow_run(lambda x: x.filter("t < 3"), s, lambda: calls.append(1)).count() == 3 and calls == [1]
+
+
+def test_placement_never_changes_results(spark):
+    s = Stream(spark.createDataFrame(items(5), SCHEMA), Order(["t"]))
+    placed = s.shuffled(keys.uniform_hash("k")).key_by("k").scan("n", F.count("t")).df
+    assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, s.key_by("k").scan("n", F.count("t")).df.collect()))
+    marked = s.spawn_label("l", "k").with_columns(key=keys.labelled_key("v", labels=["l"]), one=keys.constant_key())
+    assert marked.df.select("key").distinct().count() == len({(k, v) for _, k, v in items(5)}) and marked.df.select("one").distinct().count() == 1
+
+
+def test_no_folder_on_a_cluster_is_an_error():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("X", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session)
 
 
 def test_vectorized_unknown_words(spark):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequenza.llm.common import SPACE, pieces, spans, stable, text_buffer
+from sequenza.llm.tokencount import build, count_texts
 
 BUCKETS = 16
 #: Tokens of a batch, padding included. A document that is longer is a batch of its own.
@@ -69,20 +70,29 @@ def padding(lengths: list[int], counts: list[int], uppers: list[int]) -> int:
     return int(sum(c * (int(uppers[k]) - x) for x, c, k in zip(lengths, counts, at)))
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text"):
-        data, offsets = text_buffer(piece.column(1))
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(spans(~SPACE[data], offsets)[2], pa.int64())], ["doc_id", "n_tokens"])
+def _lengths(automaton):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            if automaton:
+                counts = count_texts(automaton.value, piece.column(1))[1]
+            else:
+                data, offsets = text_buffer(piece.column(1))
+                counts = spans(~SPACE[data], offsets)[2]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+
+    return run
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, vocabulary: tuple[list[bytes], list[bytes]] | None = None) -> DataFrame:
     """(doc_id, n_tokens, padded_length, batch), a row for each row of docs: (padded_length, batch) names its batch, numbered from 0.
 
-    Tokens are words between white space. Null, empty and blank texts have 0 tokens, null padded_length and null batch: there
-    is nothing to pack. A null doc_id comes first in its bucket; equal doc_ids go by length, and rows that agree in both take
-    neighbouring places. An empty table gives no row.
+    vocabulary: the first and later pieces that tokens are counted by, as in tokencount.token_counts; without one, tokens are words between white space.
+    Null, empty and blank texts have 0 tokens, null padded_length and null batch: there is nothing to pack. A null doc_id comes first in its
+    bucket; equal doc_ids go by length, and rows that agree in both take neighbouring places. Very long texts are whole: one of more than `budget` tokens is a
+    batch of its own. An empty table gives no row. Other columns, whatever their names, aren't looked at.
     """
-    lengths = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_lengths, "doc_id long, n_tokens long"))
+    automaton = docs.sparkSession.sparkContext.broadcast(build(*vocabulary)) if vocabulary else None
+    lengths = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_lengths(automaton), "doc_id long, n_tokens long"))
     histogram = sorted((r["n_tokens"], r["n"]) for r in lengths.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).toLocalIterator())
     uppers = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
     bounds = F.array(*[F.lit(int(u)) for u in uppers]).cast("array<long>")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sequenza.llm import digest, language, lines, mixing, packing, quality, sentencepieces, simhash, suffix, tokencount
 from sequenza.llm.common import read
-
-
-TOKENIZERS = os.environ.get("SEQUENZA_TOKENIZERS", "/opt/tokenizers")
-PIECE_MODEL = "piece_bpe_32k.model"
+from sequenza.llm.tokencount import PIECE_MODEL, TOKENIZERS, vocabulary
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +30,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Words and greedy longest-match tokens of every document."""
-    return tokencount.token_counts(read(spark, sf_dir, "documents"), *tokencount.pieces_of_model(f"{tokenizers}/{PIECE_MODEL}"))
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), *vocabulary(tokenizers))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +48,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     return sentencepieces.encoded(read(spark, sf_dir, "documents"), f"{tokenizers}/{PIECE_MODEL}")
 
 
-def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The length bucket and the batch of every document."""
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The length bucket and the batch of every document, by its tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary=vocabulary(tokenizers))
+
+
+def packing_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by words between white space, which SQL can count."""
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
@@ -73,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup, op7_sentencepiece, op8_packing, op9_document_fingerprints, op10_lm_scoring, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_simhash_near_dedup, op7_sentencepiece, op8_packing, packing_by_words, op9_document_fingerprints, op10_lm_scoring, pipeline)}
 
 
 _SOLID = r"list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
@@ -131,4 +132,4 @@ SELECT doc_id, CAST(min(top) AS INT) AS first_line, CAST(max(bottom) AS INT) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_packing": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_suffix_array_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "packing_by_words": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -8,6 +8,9 @@ followed. Steps run over all distinct words of a batch at once; goto's are a fla
 
 from __future__ import annotations
 
+import functools
+import os
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,8 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequenza.llm.common import SPACE, U64, WORD, Rolling, pieces, row_sums, text_buffer
+from sequenza.llm.common import U64, Rolling, pieces, row_sums, text_buffer
 
+#: The folder of the public tokenizers' files, and the vocabulary that tokens are counted by.
+TOKENIZERS = os.environ.get("SEQUENZA_TOKENIZERS", "/opt/tokenizers")
+PIECE_MODEL = "piece_bpe_32k.model"
 NONE = -1
 _ODD = U64(0x9E3779B97F4A7C15)
 _FREE = np.uint32(0xFFFFFFFF)
@@ -114,6 +120,11 @@ def pieces_of_model(path: str) -> tuple[list[bytes], list[bytes]]:
     return sorted(p.encode() for p in first | {p for p in later if len(p) == 1}), sorted(p.encode() for p in later)
 
 
+def vocabulary(folder: str = TOKENIZERS) -> tuple[list[bytes], list[bytes]]:
+    """The first and later pieces of PIECE_MODEL in a folder of tokenizer files."""
+    return pieces_of_model(f"{folder}/{PIECE_MODEL}")
+
+
 def pieces_of_list(path: str) -> tuple[list[bytes], list[bytes]]:
     """The first and later pieces of a text file with one piece a line, later ones with ## before them."""
     with open(path, encoding="utf-8") as lines:
@@ -121,18 +132,38 @@ def pieces_of_list(path: str) -> tuple[list[bytes], list[bytes]]:
     return [p.encode() for p in own if p and not p.startswith("##")], [p[2:].encode() for p in own if len(p) > 2 and p.startswith("##")]
 
 
+def _kinds() -> np.ndarray:
+    """0 white space, 2 punctuation and the ASCII symbols, 1 all else, by code point; planes beyond the third have no punctuation."""
+    kinds = np.ones(0x110000, np.int8)
+    kinds[[k for k in range(0x30000) if unicodedata.category(chr(k))[0] == "P"]] = 2
+    kinds[[k for k in range(33, 127) if not chr(k).isalnum()]] = 2
+    kinds[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
+    return kinds
+
+
+_KINDS = functools.cache(_kinds)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and how many each row has: runs of word bytes, and each other byte that isn't space."""
-    kind = np.where(WORD[data], 1, np.where(SPACE[data], 0, 2)).astype(np.int8)
-    n = len(data)
+    """Starts and ends of the words, and how many each row has: runs without white space and punctuation, and each punctuation character, by the classes of Unicode."""
+    n, table = len(data), _KINDS()
+    kind = table[:256][data]
+    lead = (data & 0xC0) != 0x80
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        byte = lambda k: data[np.minimum(wide + k, n - 1)].astype(np.int32) & 0x3F
+        head = data[wide].astype(np.int32)
+        size = 2 + (head >= 0xE0) + (head >= 0xF0)
+        code = np.select([size == 2, size == 3], [(head & 0x1F) << 6 | byte(1), (head & 0x0F) << 12 | byte(1) << 6 | byte(2)], (head & 0x07) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3))
+        own = table[np.minimum(code, 0x10FFFF)]
+        for k in range(4):
+            kind[wide[size > k] + k] = own[size > k]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.zeros(n, np.int8)
-    before[1:] = kind[:-1]
-    starts = np.flatnonzero((kind > 0) & ((kind == 2) | (before != 1) | edge[:-1]))
-    after = np.zeros(n, np.int8)
-    after[:-1] = kind[1:]
-    ends = np.flatnonzero((kind > 0) & ((kind == 2) | (after != 1) | edge[1:])) + 1
+    before, after, next_lead = np.zeros(n, np.int8), np.zeros(n, np.int8), np.ones(n, bool)
+    before[1:], after[:-1], next_lead[:-1] = kind[:-1], kind[1:], lead[1:]
+    starts = np.flatnonzero(np.where(kind == 2, lead, (kind == 1) & ((before != 1) | edge[:-1])))
+    ends = np.flatnonzero(np.where(kind == 2, next_lead | edge[1:], (kind == 1) & ((after != 1) | edge[1:]))) + 1
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
@@ -178,7 +209,7 @@ def count_texts(automaton: Automaton, texts: pa.Array) -> tuple[np.ndarray, np.n
 def token_counts(docs: DataFrame, first: list[bytes], later: list[bytes]) -> DataFrame:
     """(doc_id, n_words, n_tokens), a row for each row of docs, repeated ones too.
 
-    Null and empty texts and those of spaces alone have 0 of both. A null doc_id stays null. Very long texts and words are
+    Words are what white space and punctuation, of any script, part; each punctuation character is a word. Null and empty texts and those of spaces alone have 0 of both. A null doc_id stays null. Very long texts and words are
     read whole. An empty table gives no row.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(build(first, later))

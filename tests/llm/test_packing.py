@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from sequenza.llm import packing
+from sequenza.llm import packing, tokencount
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -41,3 +41,21 @@ def test_edges(spark):
     assert got == sorted([(1, 2, 2, 0), (1, 2, 2, 0), (None, 0, None, None), (None, 1, 1, 0), (4, 0, None, None), (5, 0, None, None), (6, 50000, 50000, 0)], key=str)
     assert packing.pack(docs.limit(0)).count() == 0
     assert {r["batch"] for r in packing.pack(docs.where("doc_id > 3 AND doc_id < 6")).collect()} == {None}
+
+
+def test_by_tokens_of_a_vocabulary(spark):
+    """Lengths are those that token_counts gives, and no batch holds more than the budget."""
+    draw = random.Random(5)
+    rows = [(k, " ".join("".join(draw.choice("abc!\u2019") for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(0, 30)))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pieces = ([b"a", b"ab", b"c"], [b"a", b"b", b"c", b"bc"])
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(docs, *pieces).collect()}
+    got = packing.pack(docs, 5, 64, pieces).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == counts and max(counts.values()) > 64
+    lengths = sorted({n for n in counts.values() if n})
+    assert {r["padded_length"] for r in got if r["n_tokens"]} <= set(packing.boundaries(lengths, [sum(n == x for n in counts.values()) for x in lengths], 5))
+    batches = {}
+    for r in got:
+        if r["batch"] is not None:
+            batches.setdefault((r["padded_length"], r["batch"]), []).append(r["doc_id"])
+    assert all(len(ids) * upper <= max(64, upper) for (upper, _), ids in batches.items())

@@ -11,6 +11,7 @@ import test_lines
 import test_packing  # noqa: F401
 import test_suffix
 import test_tokencount
+from tokenizers.pre_tokenizers import BertPreTokenizer
 
 import corpus_pipeline
 from sequenza.llm import packing, quality, queries, simhash
@@ -80,8 +81,15 @@ def solid(docs):
     return {d: t for d, t in docs.items() if re.search("[^ \t\n\x0b\f\r]", t)}
 
 
-def plain_pack(docs):
-    sizes = {d: len(re.findall("[^ \t\n\x0b\f\r]+", t)) for d, t in docs.items()}
+def plain_tokens(docs):
+    """Words and tokens of each document, by the library's pre-tokenizer and a plain greedy match."""
+    first, later = (set(x) for x in test_tokencount.tokencount.pieces_of_model(test_tokencount.MODEL))
+    words = {d: [w.encode() for w, _ in BertPreTokenizer().pre_tokenize_str(t)] for d, t in docs.items()}
+    return {d: (len(w), sum(test_tokencount.greedy(x, first, later) for x in w)) for d, w in words.items()}
+
+
+def plain_pack(docs, by_words=False):
+    sizes = {d: len(re.findall("[^ \t\n\x0b\f\r]+", t)) for d, t in docs.items()} if by_words else {d: n for d, (_, n) in plain_tokens(docs).items()}
     distinct = sorted({n for n in sizes.values() if n})
     uppers = packing.boundaries(distinct, [sum(n == x for n in sizes.values()) for x in distinct])
     seen, out = dict.fromkeys(uppers, 0), []
@@ -130,16 +138,14 @@ def test_queries_over_whole_tables(spark, docs):
     assert [r[0] for r in rows("op1")] == sorted(docs, key=str) or len(rows("op1")) == len(docs)
     assert rows("op2") == test_suffix.brute(list(docs.items()), 50)
     assert rows("op3") == test_lines.brute(list(docs.items()))
-    first, later = (set(x) for x in test_tokencount.tokencount.pieces_of_model(test_tokencount.MODEL))
-    words = {d: [w.encode() for w in re.findall(r"[A-Za-z0-9_\x80-\U0010ffff]+|[^A-Za-z0-9_\s\x80-\U0010ffff]", t)] for d, t in docs.items()}
-    assert rows("op4") == sorted(((d, len(w), sum(test_tokencount.greedy(x, first, later) for x in w)) for d, w in words.items()), key=str)
+    assert rows("op4") == sorted(((d, *n) for d, n in plain_tokens(docs).items()), key=str)
     kept = plain_quality(spark, docs)
     assert {r[0] for r in rows("op5") if not r[2]} == set(kept) and len(rows("op5")) == len(docs)
     groups = plain_groups(docs)
     sizes = {g: list(groups.values()).count(g) for g in groups.values()}
     assert rows("op6") == sorted(((d, g) for d, g in groups.items() if sizes[g] > 1), key=str)
     assert all(r[3] and r[4] for r in rows("op7")) and len(rows("op7")) == len(docs)
-    assert sorted(rows("op8")) == plain_pack(docs)
+    assert sorted(rows("op8")) == plain_pack(docs) and sorted(rows("packing")) == plain_pack(docs, by_words=True)
     assert {r[0]: r[1] for r in rows("op9")} == {d: (x.hex() if (x := test_digest.plain(t)) else None) for d, t in docs.items()}
     assert {r[0]: r[1] for r in rows("op10")} == {d: len(t.encode()) for d, t in docs.items()} and np.isfinite([r[2] for r in rows("op10")]).all()
 

@@ -58,3 +58,17 @@ def test_vocabulary_list(tmp_path):
     (tmp_path / "v").write_text("un\n##a\nable\n")
     assert tokencount.pieces_of_list(f"{tmp_path}/v") == ([b"un", b"able"], [b"a"])
     assert np.array_equal(counted(*tokencount.pieces_of_list(f"{tmp_path}/v"), ["una", "able", "aun"])[1], [2, 1, 1])
+
+
+def test_words_as_the_tokenizers_library_parts_them():
+    from tokenizers import pre_tokenizers
+
+    library = pre_tokenizers.BertPreTokenizer()
+    draw = random.Random(9)
+    own = ["\u201chello\u201d", "a\u2014b \u2013 c", "hello\u00a0world", "snake_case a+b $5", "全角。句点、と", "\u2026\u00bfqué?", "x\u3000y\u2028z", "\U0001f600 smile\U00020000", "", " ", "é", "\u2019", "naïve\u2019s"]
+    own += ["".join(draw.choice("ab é_.,!\u2019\u201d\u2014\u00a0中。\U0001f600\n") for _ in range(draw.randrange(40))) for _ in range(300)]
+    data, offsets = tokencount.text_buffer(pa.array(own))
+    starts, ends, counts = tokencount.words(data, offsets)
+    got = [bytes(data[a:z]).decode() for a, z in zip(starts, ends)]
+    expected = [[w for w, _ in library.pre_tokenize_str(t)] for t in own]
+    assert got == [w for t in expected for w in t] and counts.tolist() == [len(t) for t in expected]

@@ -5,14 +5,16 @@ Every Python step here works on Arrow batches with numpy; no step handles one ro
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sequenza.functions.names import salted as salted_names  # noqa: F401
+from sequenza.operators.lineage import cut
 
 #: Text bytes that one vectorised step holds. A row that is longer is a step of its own.
 CHUNK_BYTES = 2 << 20
@@ -30,17 +32,13 @@ for _a, _b in ((48, 58), (65, 91), (95, 96), (97, 123), (128, 256)):
     WORD[_a:_b] = True
 
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
+#: Stands for a null doc_id: before all others.
+NO_ID = -(2**63)
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder, so that lost executors cost nothing twice.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) is one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """df, computed once and kept in the folder that the session names in spark.checkpoint.dir, so that lost executors cost nothing twice."""
+    return cut(df)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -130,9 +128,32 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def salted_names(taken: list[str], *wanted: str) -> list[str]:
-    """The wanted column names, each with as many underscores before it as keep it apart from the taken ones."""
-    lower, out = {x.lower() for x in taken}, []
-    for name in wanted:
-        out.append(next(x for n in itertools.count(1) if (x := "_" * n + name).lower() not in lower))
-    return out
+def cut_ranges(docs: DataFrame, ranges: DataFrame, names: list[str], without: Callable[[pa.Array, pa.Array, pa.Array], pa.Array], keep_emptied: bool) -> DataFrame:
+    """docs with ranges cut out of text by without(texts, starts, stops), all columns as they are.
+
+    ranges: a row for each text that has some; names: its columns, which docs hasn't: the doc_id (NO_ID for null), the hash of the text, the starts and the stops.
+    keep_emptied=False leaves out the rows whose text this empties of words.
+    """
+    doc, copy, starts, stops = names
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), copy: F.xxhash64(F.col("text").cast("string")), "text": F.col("text").cast("string")})
+    joined = keyed.join(ranges, [doc, copy], "left").select(*[F.col(f"`{c}`") for c in docs.columns], starts, stops)
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            own, keep = list(piece.columns[:-2]), None
+            cut = np.flatnonzero(piece.column(piece.num_columns - 2).is_valid().to_numpy(zero_copy_only=False))
+            if len(cut):
+                take = pa.array(cut)
+                new = without(*(c.take(take) for c in (own[at], piece.columns[-2], piece.columns[-1])))
+                where = np.arange(piece.num_rows)
+                where[cut] = piece.num_rows + np.arange(len(cut))
+                own[at] = pa.concat_arrays([own[at].cast(pa.string()), new]).take(pa.array(where))
+                if not keep_emptied:
+                    data, offsets = text_buffer(new)
+                    keep = np.ones(piece.num_rows, bool)
+                    keep[cut] = row_sums(~SPACE[data], offsets) > 0
+            out = pa.RecordBatch.from_arrays(own, names=columns)
+            yield out if keep is None else out.filter(pa.array(keep))
+
+    return joined.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -116,10 +116,12 @@ OP3_SQL = r"""
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents
 ), solid AS (
-  SELECT doc_id, n, line, row_number() OVER o AS k FROM line WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') WINDOW o AS (PARTITION BY doc_id ORDER BY n)
+  SELECT doc_id, n, line FROM line WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
+), size AS (
+  SELECT doc_id, n AS top, CASE WHEN w >= 8 THEN 1 WHEN w + lead(w) OVER o >= 8 THEN 2 ELSE 3 END AS size, line, lead(line) OVER o AS line2, lead(line, 2) OVER o AS line3, lead(n) OVER o AS n2, lead(n, 2) OVER o AS n3
+  FROM (SELECT *, len(list_filter(string_split_regex(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS w FROM solid) WINDOW o AS (PARTITION BY doc_id ORDER BY n)
 ), win AS (
-  SELECT doc_id, n AS top, lead(n, 2) OVER o AS bottom, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS lines
-  FROM solid WINDOW o AS (PARTITION BY doc_id ORDER BY n)
+  SELECT doc_id, top, CASE size WHEN 1 THEN top WHEN 2 THEN n2 ELSE n3 END AS bottom, CASE size WHEN 1 THEN line WHEN 2 THEN line || chr(10) || line2 ELSE line || chr(10) || line2 || chr(10) || line3 END AS lines FROM size
 ), again AS (
   SELECT doc_id, top, bottom FROM (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, top) AS r FROM win WHERE bottom IS NOT NULL) WHERE r > 1
 ), marked AS (

@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequenza.llm.common import U64, WORD, Rolling, mix, pieces, salted_names, spans, stable, text_buffer
@@ -156,12 +156,13 @@ def components(edges: DataFrame) -> DataFrame:
     components; each round is two aggregations over the edges, kept by a checkpoint.
     """
     edges, before = stable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        edges = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = edges.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
-        edges = stable(stars.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        # Large star: every larger neighbour of u to the least of u and its neighbours; small star: every smaller one, and u, to the least. Joins split hot nodes.
+        edges = both.join(least(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        stars = edges.join(least(edges), "u")
+        edges = stable(stars.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct())
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -176,12 +177,14 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     Very long texts are whole, and a table without rows gives none.
     """
     marked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = stable(marked.mapInArrow(_fingerprint_batches, "doc_id long, high long, low long, first long, second long, bands array<int>").withColumn("rep", F.min("doc_id").over(Window.partitionBy("high", "low", "first", "second"))))
+    prints = stable(marked.mapInArrow(_fingerprint_batches, "doc_id long, high long, low long, first long, second long, bands array<int>"))
+    same = ["high", "low", "first", "second"]
+    reps = stable(prints.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     blocks = [F.shiftrightunsigned(F.col("high" if j < 4 else "low"), j % 4 * 16).bitwiseAND(0xFFFF) for j in range(BLOCKS)]
     keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
     band_keys = F.transform("bands", lambda x, k: F.shiftleft((k + len(keys)).cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(0xFFFFFFFF)))
-    spread = prints.where("doc_id = rep").select(F.explode(F.concat(F.array(*keys), band_keys)).alias("key"), F.col("rep"), "first", "second")
-    edges = prints.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    spread = reps.select(F.explode(F.concat(F.array(*keys), band_keys)).alias("key"), F.col("rep"), "first", "second")
+    edges = prints.drop("bands").join(reps.drop("bands"), same).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = edges.union(spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_edges(most_bits), "u long, v long"))
     groups = components(edges)
     node = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -191,8 +194,10 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, group_id) of the documents in groups of two or more. Cases as in near_duplicates; documents without copies have no row."""
     groups = near_duplicates(docs, most_bits)
-    size, = salted_names(groups.columns, "size")
-    return groups.where("doc_id IS NOT NULL").withColumn(size, F.count("*").over(Window.partitionBy("group_id"))).where(F.col(size) > 1).select("doc_id", "group_id")
+    many = groups.where("NOT kept").select(F.col("group_id").alias("many")).distinct()
+    # A group has a row that isn't kept, or several rows of one document.
+    again = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("many")).count().where("count > 1").select("many")
+    return groups.where("doc_id IS NOT NULL").join(many.union(again).distinct(), F.col("group_id") == F.col("many"), "left_semi").select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequenza.llm.common import SPACE, SPACE_CLASS, U64, Rolling, mix, pieces, salted_names, spans, stable, text_buffer
+from sequenza.llm.common import NO_ID, SPACE, SPACE_CLASS, U64, Rolling, cut_ranges, mix, pieces, salted_names, spans, stable, text_buffer
 
 #: Words of the shortest repeat, and of an anchor's seed.
 LEAST, SEED = 50, 16
@@ -35,7 +35,6 @@ LEAST, SEED = 50, 16
 PERIOD, COVER = 32, (0, 1, 2, 3, 7, 11, 19)
 #: Words of a block, and of a bucket at most.
 BLOCK = 1 << 19
-NO_ID = -(2**63)
 
 _CONTEXT = "anchor long, doc long, copy long, place int, lead int, words binary, checks binary"
 _FOUND = "doc long, copy long, start int, stop int, source long"
@@ -338,24 +337,12 @@ def _without(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(data[keep].tobytes())]).cast(pa.string())
 
 
-def drop_repeated_passages(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """docs, all rows and columns, with the repeated passages cut out of text. Cases as in repeated_passages; other texts stay as they are, null too."""
-    doc, copy, starts, stops = salted_names(docs.columns, "doc", "copy", "starts", "stops")
-    ranges = _passages(docs, least, seed).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "stop")).alias(starts)).select(F.col("doc").alias(doc), F.col("copy").alias(copy), F.col(f"{starts}.start").alias(starts), F.col(f"{starts}.stop").alias(stops))
-    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), copy: F.xxhash64(F.col("text").cast("string"))})
-    joined = keyed.join(ranges, [doc, copy], "left").select(*[F.col(f"`{c}`") for c in docs.columns], starts, stops)
-    names, at = docs.columns, docs.columns.index("text")
+def drop_repeated_passages(docs: DataFrame, least: int = LEAST, seed: int = SEED, keep_emptied: bool = True) -> DataFrame:
+    """docs, all rows and columns, with the repeated passages cut out of text. Cases as in repeated_passages; other texts stay as they are, null and empty ones too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            columns = list(piece.columns[:-2])
-            cut = np.flatnonzero(piece.column(piece.num_columns - 2).is_valid().to_numpy(zero_copy_only=False))
-            if len(cut):
-                take = pa.array(cut)
-                new = _without(*(c.take(take) for c in (columns[at], piece.columns[-2], piece.columns[-1])))
-                where = np.arange(piece.num_rows)
-                where[cut] = piece.num_rows + np.arange(len(cut))
-                columns[at] = pa.concat_arrays([columns[at].cast(pa.string()), new]).take(pa.array(where))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    keep_emptied=False leaves out the rows whose text had a word and has none any more.
+    """
+    doc, copy, starts, stops = salted_names(docs.columns, "doc", "copy", "starts", "stops")
+    ranges = _passages(docs, least, seed).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "stop")).alias(starts))
+    ranges = ranges.select(F.col("doc").alias(doc), F.col("copy").alias(copy), F.col(f"{starts}.start").alias(starts), F.col(f"{starts}.stop").alias(stops))
+    return cut_ranges(docs, ranges, [doc, copy, starts, stops], _without, keep_emptied)

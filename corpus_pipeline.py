@@ -2,18 +2,20 @@
 
 Each stage reads what the one before it wrote, works on all of it, and returns what stays, with the columns of documents; the last
 one returns the batches. ORACLE_SQL is None: an isolation forest, fingerprints and a dynamic programme aren't SQL.
+
+In every stage very long texts are whole, an empty table gives no row, other columns stay as they are whatever their names, and rows that agree in doc_id and text are one
+document: what happens to one of them happens to all. n_chars, where there is such a column, is the length of the text as it is now.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequenza.llm import lines, packing, quality, simhash, suffix
 from sequenza.llm.common import read
+from sequenza.llm.tokencount import vocabulary
+from sequenza.operators.lineage import fresh_path, remove
 
 ORACLE_SQL = None
 
@@ -24,33 +26,28 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject."""
+    """Without the documents that the quality rules reject. A null text is judged as an empty one; a null doc_id changes nothing; equal texts go or stay together. Without labels nothing goes."""
     return quality.drop_rejected(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the runs of lines that occurred earlier; a document that nothing is left of goes."""
-    return _measured(_left(lines.drop_repeated_runs(docs)))
+    """Without the runs of lines that occurred earlier, by doc_id (nulls first), then by text; a document that this leaves no word of goes. Null and blank texts stay as they are."""
+    return _measured(lines.drop_repeated_runs(docs, keep_emptied=False))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With one document of each group of near copies."""
+    """With one document of each group of near copies, the one of least doc_id. Rows of null doc_id or text are in no group and stay; empty texts are copies of each other."""
     return simhash.drop_near_duplicates(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the passages that occurred earlier; a document that nothing is left of goes."""
-    return _measured(_left(suffix.drop_repeated_passages(docs)))
-
-
-def _left(docs: DataFrame) -> DataFrame:
-    """docs that have a word."""
-    return docs.where(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    """Without the passages that occurred earlier, by doc_id (nulls first), then by text; a document that this leaves no word of goes. Null and blank texts stay as they are."""
+    return _measured(suffix.drop_repeated_passages(docs, keep_emptied=False))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The length bucket and the batch of each document."""
-    return packing.pack(docs)
+    """The length bucket and the batch of each row, by its tokens. Null and blank texts have none; ties in a bucket go by doc_id (nulls first), then by length."""
+    return packing.pack(docs, vocabulary=vocabulary())
 
 
 STAGES = [
@@ -63,11 +60,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batches of all documents. What each stage returns is written to the cluster's shared folder, a temporary one only where none is set, and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    docs = read(spark, sf_dir, "documents")
+    """The batches of all documents.
+
+    What each stage returns is written to the cluster's shared folder and read again; it is deleted once the next stage has written its own. The last
+    one's stays, as it is what is returned.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -1,14 +1,17 @@
 """Bits per byte of each document by online logistic context mixing.
 
-Each bit of a text is predicted from several contexts (the last one to three bytes, and the word so far with the byte
-before it). A context and the bits of the byte that are known hash to a slot; the corpus counts zeros and ones in the
-slots, which gives the predictors. Counting runs over every document: each task fills its own tables and emits them in
-parts, parts are added up by part, so what is gathered grows with the input, while the model keeps one fixed size.
-
-A document is then read from its start. The predictors' logits are combined by weights that are gated by the bit's place
-in the byte and by whether the last byte was a letter; the combined probability is refined by an adaptive table indexed by
-gate and logit. Weights and table follow the document itself: after each segment they take a step along the gradient of
-what the segment cost, and segments grow from FIRST to LAST bytes, so a prediction never sees the bits that it predicts.
+Each bit of a text is predicted from several contexts. A context and the bits of the byte that are known hash to a slot, and the zeros and ones that came in it
+give a logit. Four predictors know the corpus: the last one to three bytes, and the word so far with the byte before it. Their counts are gathered from every document: each
+task fills tables of its own and emits them in parts, parts are added up by part, so what is gathered grows with the input, while the model keeps
+the size that is broadcast. Documents are in one of FOLDS folds by doc_id and are scored by the counts of the other folds, so a
+document's own bits are never in the model that predicts it; a copy under another doc_id may be.
+
+One more predictor knows nothing but the text so far: the byte that followed the last time that its last MATCH bytes (hashed) came, which it expects again as long as
+the bits of the byte so far agree, and the more so the longer it has been right. The logits are combined by weights that are gated by the bit's place in the byte and by
+whether the last byte was a letter, and the combined probability is refined by an adaptive table indexed by gate and logit. Weights and table take their step after
+every bit. The eight bits of a byte go by different gates and cells, so they are worked out together, and texts pass by side by side, a byte of each at a
+time; a long one is SEGMENT bytes after SEGMENT bytes, each beginning with START again but knowing the bytes before it. Probabilities keep LEAST away
+from 0 and 1 on both sides, so the bits are a code's length.
 """
 
 from __future__ import annotations
@@ -20,24 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequenza.llm.common import WORD, Rolling, pieces, row_sums, text_buffer
+from sequenza.llm.common import WORD, Rolling, pieces, text_buffer
 
 #: Predictors, and the slots of each: 2**LINE_BITS lines of 16 slots, one line for each half of a byte.
-CONTEXTS, LINE_BITS = 4, 16
+CONTEXTS, LINE_BITS = 4, 17
 SLOTS = 16 << LINE_BITS
-#: Pieces in which a table is added up.
-PARTS = 64
-FIRST, LAST = 32, 4096
+#: Pieces in which a table is added up: their slots are 16-bit numbers.
+PARTS = SLOTS >> 16
+FOLDS = 2
+#: Bytes of the context in the text itself, and what a run of right bytes adds to its logit, in 1/SCALE.
+MATCH, TRUST = 5, 8
+SEGMENT = 4096
 #: Logits are kept as integers of 1/SCALE, at most LIMIT.
 SCALE, LIMIT = 12, 10
-CELLS, RATE, PRIOR = 24, 0.02, 30
-START = (0.15, 0.3, 0.45, 0.3)
+CELLS, RATE, REFINE, LEAST = 24, 0.01, 0.02, 1 / 4096
+START = (0.15, 0.3, 0.45, 0.3, 0.3)
 
 _ODDS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 _ALPHA = WORD.copy()
 _ALPHA[48:58] = False
 
-
 def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The hashed contexts of each byte, a row for each predictor. Nothing before a row's start counts."""
     n = len(data)
@@ -72,7 +77,8 @@ def count(tables: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
     hashes = contexts(data, offsets)
     for k in range(CONTEXTS):
         high, low = _lines(hashes[k], data)
-        tables[k] += np.bincount(np.concatenate([high | (data >> 4), low | (data & 15)]), minlength=SLOTS)
+        at, n = np.unique(np.concatenate([high | (data >> 4), low | (data & 15)]), return_counts=True)
+        tables[k, at] += n.astype(tables.dtype)
 
 
 def logits(tables: np.ndarray) -> np.ndarray:
@@ -86,109 +92,163 @@ def logits(tables: np.ndarray) -> np.ndarray:
     return out.reshape(*tables.shape, 4)
 
 
-def score(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The bits that each row takes by a model of logits."""
+def matched(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte that each one's text leads to expect, and how many bytes before were as expected in a row (at most TRUST); -1 and 0 where the MATCH bytes before it are new."""
+    n = len(data)
+    place, row = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets)), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(place >= MATCH)
+    key = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(1, MATCH + 1):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + data[at - k] + np.uint64(1)
+        key *= np.uint64(0xD1342543DE82EF95)
+    bits = np.uint64(n.bit_length())
+    key = np.sort(((row[at].astype(np.uint64) << np.uint64(24)) | (key >> np.uint64(40))) << bits | at.astype(np.uint64))
+    where = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    again = np.flatnonzero((key[1:] >> bits) == (key[:-1] >> bits))
+    expected = np.full(n, -1, np.int16)
+    expected[where[again + 1]] = data[where[again]]
+    wrong = np.maximum.accumulate(np.where((expected != data) | (place == 0), np.arange(n), 0))  # the last byte that wasn't as expected
+    run = np.zeros(n, np.int64)
+    run[1:] = np.arange(n - 1) - wrong[:-1]
+    run[place == 0] = 0
+    return expected, np.where(expected < 0, 0, np.minimum(run, TRUST))
+
+
+def score(models: np.ndarray, folds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bits that each row takes by the model of its fold. models: the logits of each."""
     rows, sizes = len(offsets) - 1, np.diff(offsets)
     cost = np.zeros(rows)
     if not len(data):
         return cost
-    packed = np.ascontiguousarray(model).view(np.int32)[..., 0]
-    lines = []
-    for h in contexts(data, offsets):
-        high, low = _lines(h, data)
-        lines.append((high | (data >> 4), low | (data & 15)))
-    letter = np.zeros(len(data), np.int64)
+    fold = np.repeat(folds, sizes) * (CONTEXTS * SLOTS)
+    packed = np.ascontiguousarray(models).view(np.int32).ravel()
+    known = np.empty((len(data), CONTEXTS + 1, 2), np.int32)  # the logits of the bits of each half byte
+    for k, h in enumerate(contexts(data, offsets)):
+        for half, (line, nibble) in enumerate(zip(_lines(h, data), (data >> 4, data & 15))):
+            known[:, k, half] = packed[(line | nibble).astype(np.int64) + (k * SLOTS) + fold]
+    known = known.view(np.int8).reshape(len(data), CONTEXTS + 1, 8)
+    bits = np.unpackbits(data[:, None], axis=1)
+    expected, run = matched(data, offsets)
+    guess = np.unpackbits(np.maximum(expected, 0).astype(np.uint8)[:, None], axis=1)
+    agree = np.ones((len(data), 8), bool)
+    agree[:, 1:] = np.logical_and.accumulate(guess[:, :-1] == bits[:, :-1], axis=1)
+    trust = np.where(expected >= 0, TRUST * (1 + run), 0).astype(np.int8)[:, None]
+    known[:, CONTEXTS] = np.where(agree, np.where(guess, trust, -trust), 0)
+    letter = np.zeros(len(data), np.int32)
     letter[1:] = _ALPHA[data[:-1]]
     letter[offsets[:-1][sizes > 0]] = 0
-    order = np.argsort(-sizes, kind="stable")  # rows that still go on are a prefix
-    descending = -sizes[order]
-    # By place in that order and gate: the weights of each bit, and how many ones and bits each cell has seen.
-    weights = [np.full((rows * 2, 8), x, np.float32) for x in START]
-    middle = (np.arange(CELLS) + 0.5) * (16 / CELLS) - 8
-    ones = np.tile(PRIOR / (1 + np.exp(-middle)), rows * 16)
-    seen = np.full(rows * 16 * CELLS, float(PRIOR))
-    begin, size = 0, FIRST
-    while lanes := int(np.searchsorted(descending, -begin, "left")):
-        own = order[:lanes]
-        length = np.minimum(sizes[own] - begin, size)
-        cuts = np.cumsum(length)
-        at = np.repeat(offsets[own] + begin - (cuts - length), length) + np.arange(cuts[-1])
-        gated = np.repeat(np.arange(0, 2 * lanes, 2), length) + letter[at]
-        by_gate = np.argsort(gated, kind="stable")  # within a segment order doesn't matter
-        at, gated = at[by_gate], gated[by_gate]
-        heads = np.flatnonzero(np.concatenate([[True], gated[1:] != gated[:-1]]))
-        gates, times = gated[heads], np.diff(np.append(heads, len(gated)))
-        x, t = [], np.zeros((len(at), 8), np.float32)
-        for k in range(CONTEXTS):
-            halves = np.stack([packed[k][half[at]] for half in lines[k]], 1)
-            x.append(halves.view(np.int8).reshape(-1, 8).astype(np.float32))
-            t += np.repeat(weights[k][gates] * np.float32(1 / SCALE), times, axis=0) * x[k]
-        y = np.unpackbits(data[at][:, None], axis=1).astype(np.float32)
-        with np.errstate(over="ignore"):
-            p = 1 / (1 + np.exp(-t))
-        cell = np.clip((t + np.float32(8)) * np.float32(CELLS / 16), 0, CELLS - 1).astype(np.int64)
-        cell += (gated * (8 * CELLS))[:, None] + np.arange(0, 8 * CELLS, CELLS)
-        cell = cell.ravel()
-        reach = lanes * 16 * CELLS
-        refined = (ones[:reach] / seen[:reach]).astype(np.float32)[cell].reshape(-1, 8)
-        off = np.abs((p + refined) * np.float32(0.5) - (1 - y))  # the probability of what came
-        bits = np.log2(np.maximum(off, np.float32(1e-4)).prod(1))
-        cost[own] -= np.bincount(gated >> 1, bits, minlength=lanes)
-        step = (np.float32(RATE / SCALE) / np.sqrt(times).astype(np.float32))[:, None]
-        error = y - p
-        for k in range(CONTEXTS):
-            weights[k][gates] += step * np.add.reduceat(error * x[k], heads, axis=0)
-        seen[:reach] += np.bincount(cell, minlength=reach)
-        ones[:reach] += np.bincount(cell[y.ravel() > 0], minlength=reach)
-        begin, size = begin + size, min(size * 2 if begin else size, LAST)
+    # Lanes: segments of rows, longest first, so that those that still go on are a prefix.
+    parts = -(-sizes // SEGMENT)
+    row = np.repeat(np.arange(rows), parts)
+    part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    length = np.minimum(sizes[row] - part * SEGMENT, SEGMENT)
+    order = np.argsort(-length, kind="stable")
+    row, descending = row[order], -length[order]
+    lanes, steps = len(order), np.arange(-int(descending[0]))
+    # All is put in the order of steps, and of lanes in a step.
+    active = np.searchsorted(descending, -steps, "left")
+    begin = np.concatenate([[0], np.cumsum(active)])
+    step_of = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+    lane = np.empty(lanes, np.int64)
+    lane[order] = np.arange(lanes)
+    place = begin[step_of % SEGMENT] + np.repeat(lane, length)
+    gate_of, bit_of, logit_of = np.empty(len(data), np.int64), np.empty((len(data), 8), np.uint8), np.empty_like(known)
+    gate_of[place], bit_of[place], logit_of[place] = np.repeat(2 * lane, length) + letter, bits, known
+    weights = np.tile(np.repeat(np.array(START, np.float32) / SCALE, 8).reshape(1, -1, 8), (lanes * 2, 1, 1))
+    middle = np.arange(-(CELLS // 2), CELLS - CELLS // 2) * (16 / CELLS)
+    table = np.tile((1 / (1 + np.exp(-middle))).astype(np.float32), lanes * 16)
+    cells, total, rate = np.arange(8) * CELLS + CELLS // 2, np.zeros(lanes), np.float32(RATE / SCALE**2)
+    for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        gate, y, x = gate_of[a:z], bit_of[a:z].astype(np.float32), logit_of[a:z].astype(np.float32)
+        w = weights.take(gate, axis=0)
+        t = np.einsum("mkb,mkb->mb", w, x)
+        np.maximum(t, np.float32(-8), out=t)
+        np.minimum(t, np.float32(7.999), out=t)
+        p = np.exp(-t)
+        p += 1
+        np.reciprocal(p, out=p)
+        t *= np.float32(CELLS / 16)
+        cell = t.astype(np.int64)  # towards 0 from both sides: the middle cell is twice as wide
+        cell += cells
+        cell += (gate * (8 * CELLS))[:, None]
+        refined = table.take(cell)
+        final = p + refined
+        final *= np.float32(0.5)
+        np.maximum(final, np.float32(LEAST), out=final)
+        np.minimum(final, np.float32(1 - LEAST), out=final)
+        final += y
+        final -= 1  # the probability of what came, or less it; signs go with the eight
+        final = final[:, :4] * final[:, 4:]
+        final = final[:, :2] * final[:, 2:]
+        total[: z - a] -= np.log2(np.abs(final[:, 0] * final[:, 1]))
+        refined *= np.float32(1 - REFINE)
+        refined += y * np.float32(REFINE)
+        table[cell] = refined
+        y -= p
+        y *= rate
+        x *= y[:, None, :]
+        w += x
+        weights[gate] = w
+    np.add.at(cost, row, total)
     return cost
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """The model of all texts of docs."""
-    width = SLOTS // PARTS
+def train(docs: DataFrame, folds: int = FOLDS) -> np.ndarray:
+    """The models of all texts of docs: of each fold, by the counts of all others; with one fold, of all."""
+    width = 1 << 16
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((CONTEXTS, SLOTS), np.int64)
+        tables = np.zeros((folds, CONTEXTS, SLOTS), np.uint32)
         for piece in pieces(batches, "text", 1 << 20):
-            data, offsets = text_buffer(piece.column(0))
-            if len(data):
-                count(tables, data, offsets)
-        for k in range(CONTEXTS):
-            for part in range(PARTS):
-                own = tables[k, part * width : (part + 1) * width]
-                at = np.flatnonzero(own)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([k * PARTS + part], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].tobytes()])], ["part", "at", "n"])
+            fold = piece.column(1).to_numpy()
+            for f in range(folds):
+                data, offsets = text_buffer(piece.column(0).filter(pa.array(fold == f)))
+                if len(data):
+                    count(tables[f], data, offsets)
+        for k, own in enumerate(tables.reshape(-1, width)):
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].tobytes()])], ["part", "at", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}  # by the part of a model
         for batch in batches:
             for part, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                sums.setdefault(part, np.zeros(width, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+                sums.setdefault(part, np.zeros(width, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
         for part, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([logits(own).tobytes()])], ["part", "logits"])
 
-    texts = docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text"))
-    summed = texts.mapInArrow(tally, "part int, at binary, n binary").repartition(F.col("part")).mapInArrow(add, "part int, logits binary")
-    model = np.zeros((CONTEXTS * PARTS, width * 4), np.int8)
-    for row in summed.toLocalIterator():
-        model[row["part"]] = np.frombuffer(row["logits"], np.int8)
-    return model.reshape(CONTEXTS, SLOTS, 4)
+    texts = docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text"), _fold(folds).alias("fold"))
+    each = CONTEXTS * PARTS
+    partial = texts.mapInArrow(tally, "part int, at binary, n binary")
+    if folds > 1:  # a part goes to the models of all other folds
+        others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.floor(F.col("part") / each))
+        partial = partial.select("part", "at", "n", F.explode(others).alias("f")).select((F.col("f") * each + F.col("part") % each).cast("int").alias("part"), "at", "n")
+    model = np.zeros((folds * each, width * 4), np.int8)
+    for r in partial.repartition(F.col("part")).mapInArrow(add, "part int, logits binary").toLocalIterator():
+        model[r["part"]] = np.frombuffer(r["logits"], np.int8)
+    return model.reshape(folds, CONTEXTS, SLOTS, 4)
+
+
+def _fold(folds: int):
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(folds)).cast("int")
 
 
 def bits_per_byte(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte), a row for each row of docs, repeated ones too, by the model of corpus (docs itself if None).
+    """(doc_id, n_bytes, bits, bits_per_byte), a row for each row of docs, repeated ones too, by the model of corpus, or of the other folds of docs itself if that is None.
 
-    Null and empty texts have 0 bytes and bits and null bits_per_byte. A null doc_id stays null. Equal texts have equal bits.
-    Very long texts are read whole. An empty corpus predicts every bit by half at first. An empty table gives no row.
+    Null and empty texts have 0 bytes and bits and null bits_per_byte. A null doc_id stays null; such rows are one fold. Rows that agree in doc_id and text have
+    equal bits. Very long texts are read whole. An empty corpus predicts every bit by half at first. An empty table gives no row. Other columns, whatever their
+    names, aren't looked at.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs if corpus is None else corpus))
+    folds = FOLDS if corpus is None else 1
+    models = docs.sparkSession.sparkContext.broadcast(train(docs if corpus is None else corpus, folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 1 << 17):
+        for piece in pieces(batches, "text", 1 << 21):
             data, offsets = text_buffer(piece.column(1))
-            n, bits = np.diff(offsets), score(model.value, data, offsets)
+            n, bits = np.diff(offsets), score(models.value, piece.column(2).to_numpy(), data, offsets)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(bits), pa.array(bits / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, bits double, bits_per_byte double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _fold(folds).alias("fold")).mapInArrow(run, "doc_id long, n_bytes long, bits double, bits_per_byte double")

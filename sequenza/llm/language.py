@@ -166,7 +166,8 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, family, language, margin), a row for each row of docs, repeated ones too.
 
     A text that is null or shorter than two bytes has null family and language and margin 0; so has every text if no row is
-    labelled. A null doc_id stays null. Rows with equal texts get equal results. An empty table gives no row.
+    labelled. A null doc_id stays null. Rows with equal texts get equal results. Among classes with as many duels won the one with the larger margins wins, then the
+    first by name. Very long texts are whole. An empty table gives no row. Other columns, whatever their names, aren't looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, rows))
 

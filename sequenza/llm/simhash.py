@@ -126,12 +126,28 @@ def close_pairs(keys: np.ndarray, docs: np.ndarray, bits: np.ndarray, most: int)
     return docs[np.concatenate(left)], docs[np.concatenate(right)]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every value of the pairs (a, b) that isn't the least of its connected component: the value and that least one."""
+    ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inverse[: len(a)], inverse[len(a) :]
+    root, before = np.arange(len(ids)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        least = np.minimum(root[x], root[y])
+        for side in (x, y):
+            np.minimum.at(root, root[side], least)  # the tree's root learns it too
+            np.minimum.at(root, side, least)
+        root = root[root]
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[own], ids[root[own]]
+
+
 def _edges(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(keys, docs, bits):
-            a, b = close_pairs(keys, docs, bits, most)
-            ab = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["u", "v"])
+            # Only what is connected matters: of all pairs of these keys, one edge for each document leaves the task.
+            u, v = stars(*close_pairs(keys, docs, bits, most))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         held: list[np.ndarray] = []  # the rows of the last key so far, which the next batch may go on with
         for batch in batches:

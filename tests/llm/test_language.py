@@ -33,3 +33,38 @@ def test_edges(spark):
     assert {(4, None, None), (5, None, None), (6, None, None)} <= set(got)
     assert language.identify(docs.limit(0)).count() == 0
     assert [r["language"] for r in language.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).replace("", None, "lang").limit(1)).collect()] == [None]
+
+
+def plain_predict(model, text: str):
+    """Family and language by loops over n-grams and duels."""
+    data = text.lower().encode()
+    if len(data) < 2:
+        return None, None
+    shift = 32 - language.SLOTS.bit_length() + 1
+    slots = [((data[k] | data[k + 1] << 8) * 0x9E3779B1 & 0xFFFFFFFF) >> shift for k in range(len(data) - 1)]
+    slots += [((data[k] | data[k + 1] << 8 | data[k + 2] << 16) * 0x85EBCA6B & 0xFFFFFFFF) >> shift for k in range(len(data) - 2)]
+
+    def winner(duels):
+        votes, total = [0.0] * len(duels.classes), [0.0] * len(duels.classes)
+        for k, (a, b) in enumerate(duels.pairs):
+            margin = sum(float(duels.weights[s, k]) for s in slots) / len(slots) + duels.bias[k]
+            votes[a if margin > 0 else b] += 1
+            total[a] += margin
+            total[b] -= margin
+        most = max(map(abs, total), default=0)
+        return duels.classes[max(range(len(votes)), key=lambda c: votes[c] + 0.5 * np.tanh(total[c] / (1 + most)))]
+
+    family = winner(model.families)
+    return family, winner(model.languages[family])
+
+
+def test_query_as_loops(spark):
+    """The whole query over small tables: every document's n-grams, sums and duels by loops over the fitted classifiers."""
+    from sequenza.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.train(docs)
+    expected = {r["doc_id"]: plain_predict(model, r["text"]) for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: (r["family"], r["language"]) for r in queries.op1_language_id(spark, folder).collect()}
+    assert got.keys() == expected.keys() and got == expected

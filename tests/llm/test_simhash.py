@@ -94,3 +94,25 @@ def test_recall_of_isolated_pairs_by_similarity(spark):
     assert not found[~close].any()
     recall = {low: (int(own.sum()), found[own].mean()) for low in (0.3, 0.4, 0.5, 0.6, 0.7) if (own := close & (similarity >= low) & (similarity < low + 0.1)).any()}
     assert len(recall) >= 4 and all(r >= 0.9 for n, r in recall.values() if n >= 10)
+
+
+def test_stars_by_plain_search():
+    draw = np.random.default_rng(8)
+    for n, m in ((1, 0), (30, 20), (200, 190), (500, 2000)):
+        a, b = draw.integers(0, n, m) * 7, draw.integers(0, n, m) * 7
+        root = {int(x): int(x) for x in np.concatenate([a, b])}
+        changed = True
+        while changed:
+            changed = False
+            for x, y in zip(a.tolist(), b.tolist()):
+                least = min(root[x], root[y])
+                changed |= root[x] != least or root[y] != least
+                root[x] = root[y] = least
+        u, v = simhash.stars(a, b)
+        assert dict(zip(u.tolist(), v.tolist())) == {x: r for x, r in root.items() if x != r}
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the very same text in many rows' ELSE concat_ws(' ', id, id * 7, id * 11, id * 13, id * 17) END AS text")
+    groups = simhash.near_duplicate_groups(docs)
+    assert groups.where("group_id = 0").count() == 10_000 and groups.where("group_id <> 0").count() < 100

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequenza.functions import positions, text
+from sequenza.functions import positions, stem, text
 
 
 def versions(pages: DataFrame, page: str, order: str, body: str) -> DataFrame:
@@ -13,9 +13,10 @@ def versions(pages: DataFrame, page: str, order: str, body: str) -> DataFrame:
     return pages.select(F.col(page).alias("page"), F.row_number().over(Window.partitionBy(page).orderBy(order)).alias("version"), F.col(body).alias("text"))
 
 
-def word_positions(pages: DataFrame) -> DataFrame:
-    """(page, version, word, positions): a row for each distinct token of a page version, its places from 0 in order."""
-    each = pages.select("page", "version", F.posexplode(text.index_tokens(F.col("text"))).alias("pos", "word"))
+def word_positions(pages: DataFrame, stemmed: bool = False) -> DataFrame:
+    """(page, version, word, positions): a row for each distinct token of a page version, or for each distinct stem, with its places from 0 in order."""
+    tokens = text.index_tokens(F.col("text"))
+    each = pages.select("page", "version", F.posexplode(stem.stems(tokens) if stemmed else tokens).alias("pos", "word"))
     return each.groupBy("page", "version", "word").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

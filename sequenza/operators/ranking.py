@@ -17,8 +17,9 @@ def latest(docs: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(page, length, word, tf) for docs (page, text): how often each token comes in a document of `length` tokens; a document without tokens has one row of null word."""
-    tokens = text.index_tokens(F.col("text"))
-    return docs.select("page", F.coalesce(F.size(tokens), F.lit(0)).alias("length"), F.explode_outer(tokens).alias("word")).groupBy("page", "length", "word").agg(F.count("word").alias("tf"))
+    tokens = docs.select("page", text.index_tokens(F.col("text")).alias("tokens"))
+    sized = tokens.select("page", F.coalesce(F.size("tokens"), F.lit(0)).alias("length"), "tokens")  # before the explode, else it is made anew for each token
+    return sized.select("page", "length", F.explode_outer("tokens").alias("word")).groupBy("page", "length", "word").agg(F.count("word").alias("tf"))
 
 
 def bm25(postings: DataFrame, terms: DataFrame, all_docs: bool = True, k1: float = K1, b: float = B) -> DataFrame:

@@ -355,6 +355,13 @@ def word_positions(spark, d):
     return _pages(spark, d).select("page", "version", "word", _joined(F.col("positions").cast("array<string>")).alias("positions"))
 
 
+@query
+def stemmed_positions(spark, d):
+    """The places of stems instead of words."""
+    versions = index.versions(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    return index.word_positions(versions, stemmed=True).select("page", "version", "word", _joined(F.col("positions").cast("array<string>")).alias("positions"))
+
+
 @query
 def packed_positions(spark, d):
     return index.packed(_pages(spark, d)).select("page", "version", "word", _joined(F.col("packed").cast("array<string>")).alias("packed"))
@@ -485,7 +492,7 @@ def one_vs_rest_baseline(spark, d):
     from pyspark.ml.feature import HashingTF, StringIndexer
 
     docs = table(spark, d, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("tokens"))
-    rows = HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 18).transform(docs)
+    rows = HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 16).transform(docs)
     rows = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc").fit(docs).transform(rows)
     model = OneVsRest(classifier=LogisticRegression(regParam=0.001, elasticNetParam=1.0), parallelism=4).fit(rows)
     return model.transform(rows).select("doc_id", "label", "prediction")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sequenza.functions import keys, positions, text
+from sequenza.functions import keys, positions, stem, text
 from sequenza.operators import classify, fold, graph, grouping, labels, lineage, ranking, wordcount
 from sequenza.operators.flow import Stream
 from sequenza.operators.flow import run as flow_run
@@ -253,3 +253,12 @@ def test_vectorized_unknown_words(spark):
     words = spark.createDataFrame([("a",), ("z",)], "word string")
     got = classify.vectorized(words, spark.createDataFrame([("a", 4)], "word string, idx long")).orderBy("word").collect()
     assert [r["idx"] for r in got] == [4, 0]
+
+
+def test_stems_of_both_languages(spark):
+    english = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit operator oper feudalism feudal hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic formative form electrical electr goodness good revival reviv allowance allow airliner airlin adjustable adjust irritant irrit replacement replac adoption adopt bowdlerize bowdler probate probat rate rate controll control roll roll".split()
+    russian = "важная важн важнейшие важн вазы ваз валенки валенк вами вам варением варен россия росс слон слон литва литв вставка вставк противоположность противоположн прятаться прята бесконечность бесконечн читавший чита".split()
+    for words in (english, russian):
+        assert [stem.stem(w) for w in words[::2]] == words[1::2]
+    df = spark.createDataFrame([(["cats", "слоны", "x1", None],), (None,), ([],)], "w array<string>").repartition(1)
+    assert sorted([r[0] for r in df.select(stem.stems(F.col("w"))).collect()], key=str) == sorted([["cat", "слон", "x1", None], None, []], key=str)

@@ -74,9 +74,18 @@ class Vocabulary:
 
 
 def load(path: str) -> Vocabulary:
-    """The vocabulary of a merge-type model."""
+    """The vocabulary of a merge-type model. Raises ValueError for one of another type, or that changes texts in another way than by marks for spaces and one before them."""
     import sentencepiece
-
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        proto.ParseFromString(file.read())
+    how, texts = proto.trainer_spec, proto.normalizer_spec
+    if how.model_type != how.BPE or how.treat_whitespace_as_suffix:
+        raise ValueError(f"{path} isn't a merge-type model with the word mark before words")
+    if texts.precompiled_charsmap or texts.remove_extra_whitespaces or not texts.add_dummy_prefix or not texts.escape_whitespaces:
+        raise ValueError(f"{path} normalises texts: only the identity with a mark before the text is encoded here")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
     names = [model.id_to_piece(k) for k in range(size)]

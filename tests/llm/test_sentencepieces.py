@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import sentencepiece
 
 from sequenza.llm import sentencepieces
@@ -30,3 +31,19 @@ def test_edges(spark):
     assert not by[5, False]["round_trip"] and by[5, False]["as_library"]
     assert all(r["as_library"] and (r["round_trip"] or r["doc_id"] == 5) for r in got if r["pieces"] is not None)
     assert sentencepieces.encoded(docs.limit(0), MODEL).count() == 0
+
+
+def test_other_models_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    for change in ("add_dummy_prefix", "model_type"):
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(MODEL, "rb") as file:
+            proto.ParseFromString(file.read())
+        if change == "model_type":
+            proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+        else:
+            proto.normalizer_spec.add_dummy_prefix = False
+        (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+        with pytest.raises(ValueError):
+            sentencepieces.load(f"{tmp_path}/m.model")

@@ -244,10 +244,10 @@ def stateful_map_nulls(spark, d):
     rows = table(spark, d, "events").select(kind.alias("kind"), "ts", "event_id", big.alias("big"))
 
     def step(row, state):
-        now = (state or 0) + (row["big"] or 0)
-        return now, (row["event_id"], now)
+        now = state if row["big"] is None else row["big"]
+        return now, (row["event_id"], -1 if now is None else now, row["big"] is None)
 
-    return fold.stateful_map(rows, ["kind"], ["ts", "event_id"], step, "kind string, event_id long, total long")
+    return fold.stateful_map(rows, ["kind"], ["ts", "event_id"], step, "kind string, event_id long, last long, missing boolean")
 
 
 @query
@@ -439,7 +439,7 @@ def split_labeled(spark, d):
     known, unknown = s.filter("quality IS NOT NULL").spawn_label("known", "doc_id"), s.filter("quality IS NULL").spawn_label("unknown", "doc_id")
     words = [x.flat_map(text.tokens(F.col("text")), "word", "pos") for x in (known, unknown)]
     counts = [labels.require_labels(x.df, [n]).groupBy(f"label_{n}").agg(F.count("*").alias("n")) for x, n in zip(words, ("known", "unknown"))]
-    return counts[0].unionByName(counts[1], allowMissingColumns=True)
+    return counts[0].unionByName(counts[1], allowMissingColumns=True).fillna(-1)
 
 
 @query

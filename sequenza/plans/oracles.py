@@ -81,7 +81,7 @@ ORACLES = {
     "last_value_state": "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last FROM events",
     "stateful_map_general": FOLD,
     "stateful_map_desc_order": "SELECT user_id, event_id, first_value(event_id) OVER w AS top, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING)",
-    "stateful_map_nulls": "SELECT kind, event_id, CAST(sum(coalesce(big, 0)) OVER (PARTITION BY kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT nullif(event_type, 'view') AS kind, ts, event_id, CASE WHEN event_id % 5 <> 0 THEN 9007199254740993 + event_id END AS big FROM events)",
+    "stateful_map_nulls": "SELECT kind, event_id, coalesce(last_value(big IGNORE NULLS) OVER (PARTITION BY kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS last, big IS NULL AS missing FROM (SELECT nullif(event_type, 'view') AS kind, ts, event_id, CASE WHEN event_id % 5 <> 0 THEN 9007199254740993 + event_id END AS big FROM events)",
     "chained_folds": "SELECT event_type, event_id, n, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
     "running_count_null_keys": "SELECT event_id, row_number() OVER (PARTITION BY nullif(event_type, 'view') ORDER BY event_id) AS n FROM events",
     "stateful_flat_map_sessions": "SELECT user_id, event_id, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 3 = 0",
@@ -105,7 +105,7 @@ UNION ALL SELECT word, page, CAST(version AS INT), 'remove', {PACK('page', 'old_
     "bm25_all_docs": f"WITH {BM25} SELECT page, round(coalesce(score, 0), 9) AS score FROM sizes LEFT JOIN score USING (page)",
     "ranking_latest_versions": "SELECT conv_id AS page, CAST(count(*) AS INT) AS version, CAST(length(arg_max(text, turn)) AS INT) AS n_chars FROM conversations GROUP BY conv_id",
     "term_frequency": f"WITH {TF} SELECT * FROM tf",
-    "split_labeled": f"WITH w AS (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) SELECT CASE WHEN quality IS NOT NULL THEN doc_id END AS label_known, CASE WHEN quality IS NULL THEN doc_id END AS label_unknown, count(*) AS n FROM w LEFT JOIN labels USING (doc_id) GROUP BY doc_id, quality",
+    "split_labeled": f"WITH w AS (SELECT doc_id, unnest({TOKENS}) AS word FROM documents) SELECT CASE WHEN quality IS NOT NULL THEN doc_id ELSE -1 END AS label_known, CASE WHEN quality IS NULL THEN doc_id ELSE -1 END AS label_unknown, count(*) AS n FROM w LEFT JOIN labels USING (doc_id) GROUP BY doc_id, quality",
     "running_df": f"WITH {DF} SELECT doc_id, word, df FROM df",
     "tfidf": f"WITH {DF}, raw AS (SELECT doc_id, word, tf * ln((doc_id + 1) / df) + 1 AS v FROM df) SELECT doc_id, word, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw",
     "decayed_idf": f"WITH {TF}, b AS (SELECT word, doc_id // 200 AS b FROM tf) SELECT word, round(sum(pow(0.761, (SELECT max(b) FROM b) - b)), 6) AS df FROM b GROUP BY word",

@@ -7,8 +7,8 @@ the size that is broadcast. Documents are in one of FOLDS folds by doc_id and ar
 document's own bits are never in the model that predicts it; a copy under another doc_id may be.
 
 One more predictor knows nothing but the text so far: the byte that followed the last time that its last MATCH bytes (hashed) came, which it expects again as long as
-the bits of the byte so far agree, and the more so the longer it has been right. The logits are combined by weights that are gated by the bit's place in the byte and by
-whether the last byte was a letter, and the combined probability is refined by an adaptive table indexed by gate and logit. Weights and table take their step after
+the bits of the byte so far agree, and the more so the longer it has been right. The logits are combined by weights that are gated by the bit's place in the byte,
+and the combined probability is refined by an adaptive table indexed by that, by whether the last byte was a letter, and by the logit. Weights and table take their step after
 every bit. The eight bits of a byte go by different gates and cells, so they are worked out together, and texts pass by side by side, a byte of each at a
 time; a long one is SEGMENT bytes after SEGMENT bytes, each beginning with START again but knowing the bytes before it. Probabilities keep LEAST away
 from 0 and 1 on both sides, so the bits are a code's length.
@@ -42,6 +42,9 @@ START = (0.15, 0.3, 0.45, 0.3, 0.3)
 _ODDS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 _ALPHA = WORD.copy()
 _ALPHA[48:58] = False
+#: For each byte, eight bytes as one number: its bits as 1 and -1; and 1 for the bits up to the first that is set, 0 after it.
+_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int8) * 2 - 1).view(np.int64).ravel()
+_AGREE = (np.cumsum(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1) - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) == 0).astype(np.int8).view(np.int64).ravel()
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The hashed contexts of each byte, a row for each predictor. Nothing before a row's start counts."""
@@ -77,8 +80,8 @@ def count(tables: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
     hashes = contexts(data, offsets)
     for k in range(CONTEXTS):
         high, low = _lines(hashes[k], data)
-        at, n = np.unique(np.concatenate([high | (data >> 4), low | (data & 15)]), return_counts=True)
-        tables[k, at] += n.astype(tables.dtype)
+        for at in (high | (data >> 4), low | (data & 15)):
+            np.add.at(tables[k], at, tables.dtype.type(1))
 
 
 def logits(tables: np.ndarray) -> np.ndarray:
@@ -121,48 +124,49 @@ def score(models: np.ndarray, folds: np.ndarray, data: np.ndarray, offsets: np.n
     cost = np.zeros(rows)
     if not len(data):
         return cost
-    fold = np.repeat(folds, sizes) * (CONTEXTS * SLOTS)
-    packed = np.ascontiguousarray(models).view(np.int32).ravel()
-    known = np.empty((len(data), CONTEXTS + 1, 2), np.int32)  # the logits of the bits of each half byte
-    for k, h in enumerate(contexts(data, offsets)):
-        for half, (line, nibble) in enumerate(zip(_lines(h, data), (data >> 4, data & 15))):
-            known[:, k, half] = packed[(line | nibble).astype(np.int64) + (k * SLOTS) + fold]
-    known = known.view(np.int8).reshape(len(data), CONTEXTS + 1, 8)
-    bits = np.unpackbits(data[:, None], axis=1)
-    expected, run = matched(data, offsets)
-    guess = np.unpackbits(np.maximum(expected, 0).astype(np.uint8)[:, None], axis=1)
-    agree = np.ones((len(data), 8), bool)
-    agree[:, 1:] = np.logical_and.accumulate(guess[:, :-1] == bits[:, :-1], axis=1)
-    trust = np.where(expected >= 0, TRUST * (1 + run), 0).astype(np.int8)[:, None]
-    known[:, CONTEXTS] = np.where(agree, np.where(guess, trust, -trust), 0)
-    letter = np.zeros(len(data), np.int32)
-    letter[1:] = _ALPHA[data[:-1]]
-    letter[offsets[:-1][sizes > 0]] = 0
-    # Lanes: segments of rows, longest first, so that those that still go on are a prefix.
+    # Lanes: segments of rows, longest first, so that those that still go on are a prefix. All is put in the order of steps, and of lanes in a step.
     parts = -(-sizes // SEGMENT)
     row = np.repeat(np.arange(rows), parts)
     part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
     length = np.minimum(sizes[row] - part * SEGMENT, SEGMENT)
     order = np.argsort(-length, kind="stable")
-    row, descending = row[order], -length[order]
-    lanes, steps = len(order), np.arange(-int(descending[0]))
-    # All is put in the order of steps, and of lanes in a step.
-    active = np.searchsorted(descending, -steps, "left")
-    begin = np.concatenate([[0], np.cumsum(active)])
-    step_of = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+    lanes, steps = len(order), int(length[order[0]])
+    begin = np.concatenate([[0], np.cumsum(np.searchsorted(-length[order], -np.arange(steps), "left"))])
     lane = np.empty(lanes, np.int64)
     lane[order] = np.arange(lanes)
-    place = begin[step_of % SEGMENT] + np.repeat(lane, length)
-    gate_of, bit_of, logit_of = np.empty(len(data), np.int64), np.empty((len(data), 8), np.uint8), np.empty_like(known)
-    gate_of[place], bit_of[place], logit_of[place] = np.repeat(2 * lane, length) + letter, bits, known
-    weights = np.tile(np.repeat(np.array(START, np.float32) / SCALE, 8).reshape(1, -1, 8), (lanes * 2, 1, 1))
+    place = begin[(np.arange(len(data)) - np.repeat(offsets[:-1], sizes)) % SEGMENT] + np.repeat(lane, length)
+    after = np.zeros(len(data), bool)  # after a letter
+    after[1:] = _ALPHA[data[:-1]]
+    after[offsets[:-1][sizes > 0]] = False
+    expected, run = matched(data, offsets)
+
+    def placed(values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[place] = values
+        return out
+
+    hashes, gate_of, fold = placed(np.ascontiguousarray(contexts(data, offsets).T)), placed(np.repeat(2 * lane, length) + after), placed(np.repeat(folds, sizes)) * (CONTEXTS * SLOTS)
+    data, expected, trust = placed(data), placed(expected), placed(np.where(expected >= 0, TRUST * (1 + run), 0).astype(np.int8))
+    packed = np.ascontiguousarray(models).view(np.int32).ravel()
+    known = np.empty((CONTEXTS + 1, len(data), 8), np.int8)  # the logits of the bits
+    for k in range(CONTEXTS):
+        halves = known[k].view(np.int32)
+        for half, (line, nibble) in enumerate(zip(_lines(np.ascontiguousarray(hashes[:, k]), data), (data >> 4, data & 15))):
+            at = (line | nibble).astype(np.int64)
+            at += fold + k * SLOTS
+            packed.take(at, out=halves[:, half])
+    guess = np.maximum(expected, 0).astype(np.uint8)
+    known[CONTEXTS] = _SIGNS.take(guess).view(np.int8).reshape(-1, 8) * _AGREE.take(guess ^ data).view(np.int8).reshape(-1, 8) * trust[:, None]
+    del hashes, fold, expected, run, trust, guess
+    weights = np.repeat(np.repeat(np.array(START, np.float32) / SCALE, 8).reshape(-1, 1, 8), lanes, axis=1)
     middle = np.arange(-(CELLS // 2), CELLS - CELLS // 2) * (16 / CELLS)
     table = np.tile((1 / (1 + np.exp(-middle))).astype(np.float32), lanes * 16)
     cells, total, rate = np.arange(8) * CELLS + CELLS // 2, np.zeros(lanes), np.float32(RATE / SCALE**2)
     for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
-        gate, y, x = gate_of[a:z], bit_of[a:z].astype(np.float32), logit_of[a:z].astype(np.float32)
-        w = weights.take(gate, axis=0)
-        t = np.einsum("mkb,mkb->mb", w, x)
+        y, x, w = np.unpackbits(data[a:z, None], axis=1).astype(np.float32), known[:, a:z].astype(np.float32), weights[:, : z - a]
+        t = w[0] * x[0]
+        for k in range(1, CONTEXTS + 1):
+            t += w[k] * x[k]
         np.maximum(t, np.float32(-8), out=t)
         np.minimum(t, np.float32(7.999), out=t)
         p = np.exp(-t)
@@ -171,7 +175,7 @@ def score(models: np.ndarray, folds: np.ndarray, data: np.ndarray, offsets: np.n
         t *= np.float32(CELLS / 16)
         cell = t.astype(np.int64)  # towards 0 from both sides: the middle cell is twice as wide
         cell += cells
-        cell += (gate * (8 * CELLS))[:, None]
+        cell += (gate_of[a:z] * (8 * CELLS))[:, None]
         refined = table.take(cell)
         final = p + refined
         final *= np.float32(0.5)
@@ -187,10 +191,9 @@ def score(models: np.ndarray, folds: np.ndarray, data: np.ndarray, offsets: np.n
         table[cell] = refined
         y -= p
         y *= rate
-        x *= y[:, None, :]
+        x *= y
         w += x
-        weights[gate] = w
-    np.add.at(cost, row, total)
+    np.add.at(cost, row[order], total)
     return cost
 
 

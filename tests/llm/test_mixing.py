@@ -60,7 +60,7 @@ def plain(counts: Counter, text: bytes) -> float:
     cost, seen, run = 0.0, {}, 0
     for k, byte in enumerate(text):
         if k % mixing.SEGMENT == 0:
-            weights = [[[x for x in mixing.START] for _ in range(8)] for _ in range(2)]
+            weights = [list(mixing.START) for _ in range(8)]
             table = [[[1 / (1 + np.exp(-(c - mixing.CELLS // 2) * 16 / mixing.CELLS)) for c in range(mixing.CELLS)] for _ in range(8)] for _ in range(2)]
         gate = int(k > 0 and letter(text[k - 1]))
         expected = seen.get(text[k - mixing.MATCH : k]) if k >= mixing.MATCH else None
@@ -77,14 +77,14 @@ def plain(counts: Counter, text: bytes) -> float:
                 x.append(np.rint(np.clip(np.log((n[1] + 0.4) / (n[0] + 0.4)), -mixing.LIMIT, mixing.LIMIT) * mixing.SCALE) / mixing.SCALE)
             agree = expected is not None and expected >> (8 - bit) == byte >> (8 - bit)
             x.append((2 * (expected >> (7 - bit) & 1) - 1) * mixing.TRUST * (1 + min(run, mixing.TRUST)) / mixing.SCALE if agree else 0.0)
-            w = weights[gate][bit]
+            w = weights[bit]
             t = min(max(sum(a * b for a, b in zip(w, x)), -8), 7.999)
             p = 1 / (1 + np.exp(-t))
             cell = int(t * mixing.CELLS / 16) + mixing.CELLS // 2
             final = min(max((p + table[gate][bit][cell]) / 2, mixing.LEAST), 1 - mixing.LEAST)
             cost -= np.log2(final if y else 1 - final)
             table[gate][bit][cell] += (y - table[gate][bit][cell]) * mixing.REFINE
-            weights[gate][bit] = [a + mixing.RATE * (y - p) * b for a, b in zip(w, x)]
+            weights[bit] = [a + mixing.RATE * (y - p) * b for a, b in zip(w, x)]
         run = run + 1 if expected == byte else 0
         if k >= mixing.MATCH:
             seen[text[k - mixing.MATCH : k]] = byte

@@ -34,6 +34,8 @@ FOLDS = 2
 #: Bytes of the context in the text itself, and what a run of right bytes adds to its logit, in 1/SCALE.
 MATCH, TRUST = 5, 8
 SEGMENT = 4096
+#: Bytes that are prepared at once.
+STEP = 1 << 16
 #: Logits are kept as integers of 1/SCALE, at most LIMIT.
 SCALE, LIMIT = 12, 10
 CELLS, RATE, REFINE, LEAST = 24, 0.01, 0.02, 1 / 4096
@@ -135,29 +137,35 @@ def score(models: np.ndarray, folds: np.ndarray, data: np.ndarray, offsets: np.n
     lane = np.empty(lanes, np.int64)
     lane[order] = np.arange(lanes)
     place = begin[(np.arange(len(data)) - np.repeat(offsets[:-1], sizes)) % SEGMENT] + np.repeat(lane, length)
-    after = np.zeros(len(data), bool)  # after a letter
-    after[1:] = _ALPHA[data[:-1]]
-    after[offsets[:-1][sizes > 0]] = False
-    expected, run = matched(data, offsets)
-
-    def placed(values: np.ndarray) -> np.ndarray:
-        out = np.empty_like(values)
-        out[place] = values
-        return out
-
-    hashes, gate_of, fold = placed(np.ascontiguousarray(contexts(data, offsets).T)), placed(np.repeat(2 * lane, length) + after), placed(np.repeat(folds, sizes)) * (CONTEXTS * SLOTS)
-    data, expected, trust = placed(data), placed(expected), placed(np.where(expected >= 0, TRUST * (1 + run), 0).astype(np.int8))
-    packed = np.ascontiguousarray(models).view(np.int32).ravel()
-    known = np.empty((CONTEXTS + 1, len(data), 8), np.int8)  # the logits of the bits
-    for k in range(CONTEXTS):
-        halves = known[k].view(np.int32)
-        for half, (line, nibble) in enumerate(zip(_lines(np.ascontiguousarray(hashes[:, k]), data), (data >> 4, data & 15))):
-            at = (line | nibble).astype(np.int64)
-            at += fold + k * SLOTS
-            packed.take(at, out=halves[:, half])
-    guess = np.maximum(expected, 0).astype(np.uint8)
-    known[CONTEXTS] = _SIGNS.take(guess).view(np.int8).reshape(-1, 8) * _AGREE.take(guess ^ data).view(np.int8).reshape(-1, 8) * trust[:, None]
-    del hashes, fold, expected, run, trust, guess
+    n, packed = len(data), np.ascontiguousarray(models).view(np.int32).ravel()
+    hashes, byte_of, gate_of, base, guess, trust = np.empty((n, CONTEXTS), np.uint32), np.empty(n, np.uint8), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint8), np.empty(n, np.int8)
+    gates, bases, cut = np.repeat(2 * lane, length), folds.astype(np.int64) * (CONTEXTS * SLOTS), 0
+    while cut < rows:  # rows by rows and then places by places, so that what is worked on stays in the processor's cache
+        end = max(cut + 1, int(np.searchsorted(offsets, offsets[cut] + STEP, "right")) - 1)
+        a, z = offsets[cut], offsets[end]
+        if z > a:
+            own, within = data[a:z], offsets[cut : end + 1] - a
+            after = np.zeros(z - a, bool)  # after a letter
+            after[1:] = _ALPHA[own[:-1]]
+            after[within[:-1][np.diff(within) > 0]] = False
+            expected, run = matched(own, within)
+            to = place[a:z]
+            hashes[to], byte_of[to], gate_of[to], base[to] = contexts(own, within).T, own, gates[a:z] + after, np.repeat(bases[cut:end], np.diff(within))
+            guess[to], trust[to] = np.maximum(expected, 0), np.where(expected >= 0, TRUST * (1 + run), 0)
+        cut = end
+    data, known = byte_of, np.empty((CONTEXTS + 1, n, 8), np.int8)  # the logits of the bits
+    for a in range(0, n, STEP):
+        z = min(n, a + STEP)
+        own = data[a:z]
+        for k in range(CONTEXTS):
+            halves = known[k, a:z].view(np.int32)
+            for half, (line, nibble) in enumerate(zip(_lines(np.ascontiguousarray(hashes[a:z, k]), own), (own >> 4, own & 15))):
+                at = (line | nibble).astype(np.int64)
+                at += base[a:z]
+                at += k * SLOTS
+                halves[:, half] = packed.take(at)
+        known[CONTEXTS, a:z] = _SIGNS.take(guess[a:z]).view(np.int8).reshape(-1, 8) * _AGREE.take(guess[a:z] ^ own).view(np.int8).reshape(-1, 8) * trust[a:z, None]
+    del hashes, base, guess, trust, place, gates
     weights = np.repeat(np.repeat(np.array(START, np.float32) / SCALE, 8).reshape(-1, 1, 8), lanes, axis=1)
     middle = np.arange(-(CELLS // 2), CELLS - CELLS // 2) * (16 / CELLS)
     table = np.tile((1 / (1 + np.exp(-middle))).astype(np.float32), lanes * 16)
@@ -203,7 +211,7 @@ def train(docs: DataFrame, folds: int = FOLDS) -> np.ndarray:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((folds, CONTEXTS, SLOTS), np.uint32)
-        for piece in pieces(batches, "text", 1 << 20):
+        for piece in pieces(batches, "text", 2 * STEP):
             fold = piece.column(1).to_numpy()
             for f in range(folds):
                 data, offsets = text_buffer(piece.column(0).filter(pa.array(fold == f)))

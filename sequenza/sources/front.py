@@ -1,6 +1,7 @@
 """A replayable source of lines with offsets, and a load generator that writes what it reads.
 
-LogSource reads every file of a folder of append-only logs from the byte offset that the last batch ended at; a restart goes on from the checkpoint.
+LogSource reads every file of a folder of append-only logs from the byte offset that the last batch ended at; a restart goes on from the checkpoint. The
+folder has to be one that the driver and all executors see under the same path.
 Register it once: spark.dataSource.register(LogSource); spark.readStream.format("sequenza_log").load(folder).
 """
 

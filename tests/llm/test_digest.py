@@ -129,3 +129,40 @@ def test_many_equal_texts_are_one_class(spark):
     text = words(random.Random(8), 60)
     out = digest.fingerprints(spark.range(100_000).selectExpr("id AS doc_id", f"'{text}' AS text"), spark.createDataFrame([], "item_id long, text string"))
     assert out.groupBy("class_id", "copies", "links").count().collect()[0][:] == (0, 100_000, 99_999, 100_000)
+
+
+def near_by_all_pairs(rows, ids, n, most):
+    """What near_digests gives, by all pairs."""
+    score, out = digest.differences(rows[:, None], rows[None]), {}
+    for k in np.flatnonzero(n > 0):
+        others = [j for j in range(len(rows)) if j != k and score[k, j] <= most]
+        best = [min([(int(score[k, j]), int(ids[j])) for j in others if (n[j] == 0) == item], default=None) for item in (False, True)]
+        if others:
+            out[bytes(rows[k]).hex()] = (int(sum(n[j] for j in others)), *best)
+    return out
+
+
+def test_near_digests_as_all_pairs(spark, monkeypatch):
+    """Pairs that differ in every block of buckets are found, whatever their heads, in bands of one piece or of several."""
+    draw = np.random.default_rng(4)
+    rows = np.repeat(draw.integers(0, 256, (12, digest.WIDTH), np.uint8), 50, axis=0)
+    rows[:, 1] = 6 * rows[:, 1] % 24 + draw.choice([0, 0, 1, 2, 3], len(rows))
+    rows[:, 2] += draw.choice([0, 0, 0, 1, 2, 3, 16, 32, 48, 34], len(rows)).astype(np.uint8)
+    for row, many in zip(rows, draw.integers(0, 22, len(rows))):
+        at = draw.choice(digest.BUCKETS, many, replace=False)
+        np.bitwise_xor.at(row, 3 + at // 4, (1 << at % 4 * 2).astype(np.uint8))
+    rows = np.unique(rows, axis=0)
+    ids, n = draw.permutation(len(rows)), draw.integers(0, 4, len(rows))
+    nodes = spark.createDataFrame([(bytes(r).hex(), int(i), int(k)) for r, i, k in zip(rows, ids, n)], "digest string, id long, n long")
+    for most in (6, 30, 100):
+        expected = near_by_all_pairs(rows, ids, n, most)
+        assert most < 30 or any(x[1] and x[1][0] > 15 for x in expected.values())
+        for part_rows in (1 << 14, 20):
+            monkeypatch.setattr(digest, "PART_ROWS", part_rows)
+            got = {r["digest"]: (r["links"], r["near"] and tuple(r["near"]), r["item"] and tuple(r["item"])) for r in digest.near_digests(nodes, most).collect()}
+            assert got == expected
+
+
+def test_op9_as_brute_force_exactly(spark):
+    read = lambda t: [tuple(r) for r in spark.read.parquet(f"{FOLDER}/{t}.parquet").selectExpr("doc_id" if t == "documents" else "item_id", "text").collect()]
+    assert found(queries.op9_document_fingerprints(spark, FOLDER)) == brute(read("documents"), read("benchmark"))

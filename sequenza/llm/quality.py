@@ -5,8 +5,8 @@ random splits are grown on labelled documents of good quality; a document that r
 an anomaly. The score is 2 ** (-mean path length / expected path length), and the threshold above which a document is
 rejected is the one that parts the labelled good rows from the bad ones best while it keeps KEEP of the good ones.
 
-Trees and threshold come from at most LABELLED_ROWS labelled documents, those with the least hashes of doc_id;
-statistics and scores cover every document, whole.
+Trees and threshold come from all labelled documents: each good one is in one tree at least, in as many as give a tree SAMPLE rows,
+and the threshold is found by counts over all scores. Statistics and scores cover every document, whole.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequenza.llm.common import SPACE, U64, WORD, Rolling, mix, pieces, row_sums, salted_names, spans, text_buffer
+from sequenza.llm.common import SPACE, U64, WORD, Rolling, mix, pieces, row_sums, salted_names, spans, stable, text_buffer
 
 STATISTICS = ["word_length", "symbols", "capitals", "punctuation", "bars", "distinct", "common", "short_words", "line_length", "closed_lines", "repeated_lines"]
 #: Those that are shares or means over words: a text of few words has them drawn towards the mean of good rows, as if it had PRIOR_WORDS more words like those.
 SHARES = np.array([s != "line_length" for s in STATISTICS])
 PRIOR_WORDS = 60
-#: Labelled rows that the forest and its threshold are fitted on, at most.
-LABELLED_ROWS = 4000
+#: SAMPLE rows of a tree are the fewest where there are as many; trees stop at the depth for so many.
 TREES, SAMPLE, SEED = 100, 1024, 11
+#: Ranges of scores that are counted one by one.
+RANGES = 4096
 #: The share of labelled good rows that a threshold must keep.
 KEEP = 0.995
 
@@ -111,12 +112,13 @@ def shrunk(rows: np.ndarray, words: np.ndarray, prior: np.ndarray) -> np.ndarray
     return np.where(SHARES, (rows * words[:, None] + prior * PRIOR_WORDS) / (words[:, None] + PRIOR_WORDS), rows)
 
 
-def grow(rows: np.ndarray, words: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
-    """An isolation forest over raw statistics, its threshold not yet set."""
-    prior = rows.mean(0) if len(rows) else np.zeros(len(STATISTICS))
-    rows = shrunk(rows, words, prior)
-    draw = np.random.default_rng(seed)
-    feature, value, left, length, roots = [], [], [], [], []
+def _deepest(size: int) -> int:
+    return int(np.ceil(np.log2(max(size, 2)))) + 4
+
+
+def _tree(rows: np.ndarray, draw: np.random.Generator, deepest: int) -> tuple[np.ndarray, ...]:
+    """feature, value, left and length of a tree grown on all of rows, in whatever order they are."""
+    feature, value, left, length = [], [], [], []
 
     def node() -> int:
         feature.append(-1)
@@ -125,28 +127,40 @@ def grow(rows: np.ndarray, words: np.ndarray, trees: int = TREES, sample: int =
         length.append(0.0)
         return len(feature) - 1
 
-    size = min(sample, len(rows))
-    deepest = int(np.ceil(np.log2(max(size, 2)))) + 4
-    for _ in range(trees if size else 0):
-        roots.append(node())
-        todo = [(roots[-1], rows[draw.choice(len(rows), size, replace=False)], 0)]
-        while todo:
-            at, own, depth = todo.pop()
-            low, high = own.min(0), own.max(0)
-            open_ = np.flatnonzero(high > low)
-            if len(own) < 2 or depth >= deepest or not len(open_):
-                length[at] = depth + float(_expected(len(own)))
-                continue
-            f = int(draw.choice(open_))
-            split = low[f] + (high[f] - low[f]) * (1 - draw.random())
-            feature[at], value[at] = f, split
-            left[at] = node()
-            node()
-            under = own[:, f] < split
-            todo += [(left[at], own[under], depth + 1), (left[at] + 1, own[~under], depth + 1)] if under.any() else []
-            if not under.any():
-                feature[at], length[at] = -1, depth + float(_expected(len(own)))
-    return Forest(*(np.array(x) for x in (feature, value, left, length, roots)), expected=float(_expected(size)), prior=prior)
+    todo = [(node(), rows, 0)]
+    while todo:
+        at, own, depth = todo.pop()
+        low, high = own.min(0), own.max(0)
+        open_ = np.flatnonzero(high > low)
+        if len(own) < 2 or depth >= deepest or not len(open_):
+            length[at] = depth + float(_expected(len(own)))
+            continue
+        f = int(draw.choice(open_))
+        split = low[f] + (high[f] - low[f]) * (1 - draw.random())
+        feature[at], value[at] = f, split
+        left[at] = node()
+        node()
+        under = own[:, f] < split
+        todo += [(left[at], own[under], depth + 1), (left[at] + 1, own[~under], depth + 1)] if under.any() else []
+        if not under.any():
+            feature[at], length[at] = -1, depth + float(_expected(len(own)))
+    return np.array(feature, np.int8), np.array(value), np.array(left, np.int32), np.array(length)
+
+
+def _forest(trees: list[tuple[np.ndarray, ...]], size: float, prior: np.ndarray) -> Forest:
+    """The forest of trees of `size` rows each."""
+    roots = np.cumsum([0] + [len(t[0]) for t in trees])[:-1]
+    trees = [(f, v, l + np.int32(r), n) for (f, v, l, n), r in zip(trees, roots)]
+    columns = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.int8, float, np.int32, float), zip(*trees) if trees else [()] * 4))
+    return Forest(*columns, roots=roots.astype(np.int64), expected=float(_expected(size)), prior=prior)
+
+
+def grow(rows: np.ndarray, words: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    """An isolation forest over raw statistics, its threshold not yet set."""
+    prior = rows.mean(0) if len(rows) else np.zeros(len(STATISTICS))
+    rows = shrunk(rows, words, prior)
+    draw, size = np.random.default_rng(seed), min(sample, len(rows))
+    return _forest([_tree(rows[draw.choice(len(rows), size, replace=False)], draw, _deepest(size)) for _ in range(trees if size else 0)], size, prior)
 
 
 def calibrate(scores: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
@@ -163,43 +177,113 @@ def calibrate(scores: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float
     return float((candidates[best] + candidates[min(best + 1, len(candidates) - 1)]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Forest:
-    """The forest grown on labelled good documents of docs, with its threshold, from at most `rows` of their rows. A doc_id with several labels counts as bad if one of them is."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.min("quality") > 0).alias("good")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    table = texts.join(F.broadcast(chosen), "id").orderBy("id", "text").limit(rows).select("good", "text").mapInArrow(_labelled, "good boolean, words long, x array<double>").toArrow()
-    good = table.column("good").to_numpy().astype(bool)
-    x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
-    words = table.column("words").to_numpy()
-    forest = grow(x[good], words[good])
-    forest.threshold = calibrate(forest.scores(x, words), good)
+def _measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, known, words, x), a row for each row of docs: whether it has a text, its number of words and its statistics."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            x, words = statistics(piece.column(1))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1).is_valid(), pa.array(words, pa.int64()), rows], ["doc_id", "known", "words", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, known boolean, words long, x array<double>")
+
+
+def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics and numbers of words of measured rows."""
+    x, words = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column("x"), batch.column("words")))
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)), words.to_numpy(zero_copy_only=False)
+
+
+def _trees_of(ids: np.ndarray, many: int) -> np.ndarray:
+    """The `many` trees of each id, a row for each id: by hashes, so the same wherever the rows are."""
+    with np.errstate(over="ignore"):
+        hashes = mix(mix(ids.astype(np.int64).view(U64), SEED)[:, None] + mix(np.arange(TREES, dtype=U64))[None])
+    return np.argsort(hashes, axis=1, kind="stable")[:, :many]
+
+
+def _grown(good: DataFrame) -> Forest:
+    """The forest of measured good rows (id, words, x), all of them: a tree is grown in one task, on a share of the rows or, if they are few, on more, so that it has SAMPLE rows."""
+    prior = good.agg(F.count(F.lit(1)), *[F.sum(F.col("x")[k].cast("decimal(28,12)")) for k in range(len(STATISTICS))]).first()
+    n, prior = prior[0], np.array([float(p or 0) for p in prior[1:]]) / max(prior[0], 1)
+    if not n:
+        return _forest([], 0, prior)
+    many = min(TREES, -(-TREES * SAMPLE // n))
+    size = many * n / TREES
+    deepest = _deepest(min(SAMPLE, int(size)))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), many)))
+                yield pa.RecordBatch.from_arrays([pa.array(_trees_of(batch.column("id").to_numpy(), many).ravel().astype(np.int32)), own.column("words"), own.column("x")], ["tree", "words", "x"])
+
+    def tree(rows: pa.Table) -> pa.Table:
+        number = rows.column("tree")[0].as_py()
+        parts = _tree(shrunk(*_columns(rows), prior), np.random.default_rng([SEED, number]), deepest)
+        return pa.table([[number], *([p] for p in parts)], pa.schema([("tree", pa.int32()), *((name, pa.list_(kind)) for name, kind in zip(("feature", "value", "left", "length"), (pa.int8(), pa.float64(), pa.int32(), pa.float64())))]))
+
+    grown = good.select("id", "words", "x").mapInArrow(spread, "tree int, words long, x array<double>").groupBy("tree").applyInArrow(tree, "tree int, feature array<tinyint>, value array<double>, left array<int>, length array<double>").toArrow().sort_by("tree")
+    return _forest([tuple(grown.column(name)[k].values.to_numpy() for name in ("feature", "value", "left", "length")) for k in range(grown.num_rows)], size, prior)
+
+
+def _calibrated(scored: DataFrame, keep: float = KEEP) -> float:
+    """What calibrate gives for all of scored (good, score), by running counts in ranges of scores."""
+    counts = scored.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).withColumn("range", F.floor(F.col("score") * RANGES))
+    counts = stable(counts)
+    good, bad = counts.agg(F.sum("good"), F.sum("bad")).first()
+    if not good or not bad:
+        return np.inf
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("range").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "gb"])
+    within = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    over = counts.join(F.broadcast(ranges), "range").select("score", (1 - (F.col("g_before") + F.sum("good").over(within)) / F.lit(good)).alias("over_good"), (1 - (F.col("b_before") + F.sum("bad").over(within)) / F.lit(bad)).alias("over_bad"))
+    best = over.where(F.col("over_good") <= 1 - keep).select((F.col("over_bad") - F.col("over_good")).alias("gain"), "score").orderBy(F.desc("gain"), "score").first()
+    if best is None or best["gain"] <= 0:
+        return np.inf
+    following = counts.where(F.col("score") > best["score"]).agg(F.min("score")).first()[0]
+    return (best["score"] + (best["score"] if following is None else following)) / 2
+
+
+def _fitted(measured: DataFrame, labels: DataFrame, rows: int | None) -> Forest:
+    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.min("quality") > 0).alias("good"))
+    if rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
+    table = stable(measured.where("known").withColumnRenamed("doc_id", "id").join(chosen, "id").select("id", "good", "words", "x"))
+    forest = _grown(table.where("good"))
+    shared = table.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(shared.value.scores(*_columns(batch)))], ["good", "score"])
+
+    forest.threshold = _calibrated(table.select("good", "words", "x").mapInArrow(run, "good boolean, score double"))
     return forest
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text"):
-        x, words = statistics(piece.column(1))
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(words, pa.int64()), rows], ["good", "words", "x"])
+def fit(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> Forest:
+    """The forest grown on the labelled good documents of docs, with its threshold; where `rows` is given, on the documents of so many labels. A doc_id with several labels counts as bad if one of them is."""
+    return _fitted(_measured(docs), labels, rows)
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> DataFrame:
     """(doc_id, score, rejected), a row for each row of docs, repeated ones too.
 
     A null text counts as an empty one, which has statistics of 0 and is judged by them. A null doc_id stays null. Rows with
     equal texts get equal results. Without labels, or without both good and bad ones, nothing is rejected. Very long texts are whole; an empty table gives no row.
     """
-    forest = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
+    measured = stable(_measured(docs))
+    forest = docs.sparkSession.sparkContext.broadcast(_fitted(measured, labels, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            scores = forest.value.scores(*statistics(piece.column(1)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores), pa.array(scores > forest.value.threshold)], ["doc_id", "score", "rejected"])
+        for batch in batches:
+            scores = forest.value.scores(*_columns(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(scores > forest.value.threshold)], ["doc_id", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, rejected boolean")
+    return measured.select("doc_id", "words", "x").mapInArrow(run, "doc_id long, score double, rejected boolean")
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> DataFrame:
     """docs, all columns, without the rejected documents. Cases as in judge."""
     forest = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
     bad, = salted_names(docs.columns, "bad")

@@ -96,3 +96,27 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.where("doc_id < 60").count() >= 60
     assert quality.judge(docs, labels.limit(0)).where("rejected").count() == 0
     assert quality.judge(docs.limit(0), labels).count() == quality.drop_rejected(docs.limit(0), labels).count() == 0
+
+
+def test_all_labelled_documents_count(spark):
+    """However many there are: the means, the trees and the threshold are those of all."""
+    draw = np.random.default_rng(7)
+    some = list("ab cD. |#\n\t,(") + ["Plain ", "words ", "more. "]
+    rows = [(k, "".join(draw.choice(some, draw.integers(1, 60), p=None if k % 5 else [0.02] * 5 + [0.08] * 2 + [0.62 / 6] * 6 + [0.04] * 3))) for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    good = np.array([k % 5 > 0 for k, _ in rows])
+    labels = spark.createDataFrame([(k, int(g)) for (k, _), g in zip(rows, good)], "doc_id long, quality int")
+    forest, (x, words) = quality.fit(docs, labels), quality.statistics(pa.array([t for _, t in rows]))
+    assert np.allclose(forest.prior, x[good].mean(0), atol=1e-9) and len(forest.roots) == quality.TREES
+    assert np.isfinite(forest.threshold) and forest.threshold == quality.calibrate(forest.scores(x, words), good)
+    assert forest.scores(x, words).tolist() == quality.fit(docs.repartition(3), labels).scores(x, words).tolist()
+    judged = {r["doc_id"]: (r["score"], r["rejected"]) for r in quality.judge(docs, labels).collect()}
+    assert [judged[k] for k, _ in rows] == [(s, s > forest.threshold) for s in forest.scores(x, words).tolist()]
+
+
+def test_every_good_row_is_in_a_tree():
+    ids = np.arange(-50, 3000)
+    for many in (1, 15, quality.TREES):
+        trees = quality._trees_of(ids, many)
+        assert trees.shape == (len(ids), many) and (np.diff(np.sort(trees, axis=1), axis=1) > 0).all()
+        assert np.bincount(trees.ravel(), minlength=quality.TREES).min() > 0

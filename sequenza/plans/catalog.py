@@ -218,7 +218,7 @@ def stateful_map_general(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", _cents("value").alias("cents"))
 
     def step(row, state):
-        now = ((state or 7) * 31 + row["cents"]) % 1_000_003
+        now = ((7 if state is None else state) * 31 + row["cents"]) % 1_000_003
         return now, (row["event_id"], now)
 
     return fold.stateful_map(rows, ["user_id"], ["ts", "event_id"], step, "user_id long, event_id long, state long")

@@ -37,3 +37,15 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in catalog.oracle_sql()])
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name", ["stateful_map_general"])
+def test_a_fold_whose_state_comes_to_zero(spark, tmp_path, name):
+    """7 * 31 + 999786 is the prime: the next row goes on from 0, not from the start."""
+    events = [(k, f"2024-01-0{k + 1} 00:00:00", 1, value) for k, value in enumerate((9997.86, 1.0, 2.0))]
+    spark.createDataFrame(events, "event_id long, t string, user_id long, value double").selectExpr("event_id", "CAST(t AS TIMESTAMP_NTZ) AS ts", "user_id", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.queries()[name](spark, str(tmp_path)).where("event_id IS NOT NULL").toPandas()
+    assert got.sort_values("event_id")["state"].tolist()[:2] == [0, 100]
+    assert rows(got) == rows(con.execute(catalog.oracle_sql()[name]).df())

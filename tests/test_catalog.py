@@ -39,7 +39,7 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
 
 
-@pytest.mark.parametrize("name", ["stateful_map_general"])
+@pytest.mark.parametrize("name", ["stateful_map_general", "streaming_fold"])
 def test_a_fold_whose_state_comes_to_zero(spark, tmp_path, name):
     """7 * 31 + 999786 is the prime: the next row goes on from 0, not from the start."""
     events = [(k, f"2024-01-0{k + 1} 00:00:00", 1, value) for k, value in enumerate((9997.86, 1.0, 2.0))]

@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, n_tokens long, padded_length long, batch long"
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
-    """The upper lengths of at most `buckets` buckets that pad documents of these (rising) lengths least."""
+    """The upper lengths of at most `buckets` buckets that pad documents of these (rising) lengths least. Where several choices pad as little, the last bucket is the widest, then the one before it, and so on: the first of the least, as arg_min takes it."""
     n = len(lengths)
     if n <= buckets:
         return list(lengths)
@@ -48,7 +48,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
                 hull.pop()
             hull.append((slope, intercept, j - 1))
             at, x = min(at, len(hull) - 1), lengths[j - 1]
-            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] < hull[at][0] * x + hull[at][1]:
                 at += 1
             now[j], cut[j] = hull[at][0] * x + hull[at][1] + x * total[j] - area[j], hull[at][2]
         best = now

@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 
-from sequenza.llm import packing, tokencount
+from sequenza.llm import packing, queries, tokencount
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -18,6 +19,15 @@ def test_least_padding(seed):
     assert packing.boundaries([], [], 3) == []
 
 
+@pytest.mark.parametrize("n", [40, 97, 300])
+def test_choices_that_pad_as_little_go_as_in_sql(n):
+    """One document of each length: many choices of boundaries are equally good."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT range AS doc_id, repeat('w ', CAST(range + 1 AS INT)) AS text FROM range({n})")
+    uppers = [x for x, in con.execute(f"SELECT DISTINCT padded_length FROM ({queries.oracle_sql()['packing_by_words']}) ORDER BY 1").fetchall()]
+    assert packing.boundaries(list(range(1, n + 1)), [1] * n) == uppers
+
+
 def test_batches_as_brute_force(spark):
     draw = random.Random(4)
     rows = [(k, " ".join("w" for _ in range(draw.randrange(0, 40)))) for k in range(300)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def uniform_hash(*columns: str | Column) -> Column:
     return F.hash(*columns)
 
 
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """df placed by the hash of keys, in as many parts as the session shuffles into. Texts are placed so before they are split: what is then grouped by these keys and more stays where it is."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def constant_key(value: int = 0) -> Column:
     return F.lit(value)
 

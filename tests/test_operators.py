@@ -262,3 +262,15 @@ def test_stems_of_both_languages(spark):
         assert [stem.stem(w) for w in words[::2]] == words[1::2]
     df = spark.createDataFrame([(["cats", "слоны", "x1", None],), (None,), ([],)], "w array<string>").repartition(1)
     assert sorted([r[0] for r in df.select(stem.stems(F.col("w"))).collect()], key=str) == sorted([["cat", "слон", "x1", None], None, []], key=str)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_vertex_that_two_paths_reach_is_there_once(spark):
+    requests = spark.createDataFrame([(1, 0, 1), (1, 5, 3)], "request long, vertex long, path_length int")
+    edges = spark.createDataFrame([(0, 7), (5, 7), (7, 8), (8, 0)], "source long, target long")
+    got = graph.bounded_bfs(requests, edges, 3)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0), (1, 5, 0), (1, 7, 1), (1, 8, 2)]
+    assert "LeftAnti" not in plan(got)

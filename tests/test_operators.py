@@ -274,3 +274,27 @@ def test_a_vertex_that_two_paths_reach_is_there_once(spark):
     got = graph.bounded_bfs(requests, edges, 3)
     assert sorted(map(tuple, got.collect())) == [(1, 0, 0), (1, 5, 0), (1, 7, 1), (1, 8, 2)]
     assert "LeftAnti" not in plan(got)
+
+
+def test_a_learner_keeps_its_features_in_one_array():
+    model = classify.Ftrl(2)
+    state = model.start()
+    for k in range(40):
+        state = model.learn(state, list(range(k * 50, k * 50 + 60)), np.ones(60), k % 2)
+    assert state.rows.shape[1:] == (3, 2) and 40 * 50 + 10 < len(state.rows) <= 4096 and not state.rows[0].any()
+    assert model.predict(state, [10**9], np.ones(1)).tolist() == [0.5, 0.5]
+
+
+def test_texts_move_before_they_are_split(spark):
+    """Counts of a document's words need no shuffle of words, running counts one, and nothing is written between."""
+    docs = spark.createDataFrame([(k, f"aa b{k % 3} aa cc") for k in range(20)], "doc_id long, text string")
+    counts = classify.term_counts(docs)
+    assert plan(counts).count("Exchange ") == 1 and counts.where("word = 'aa' AND tf = 2").count() == 20
+    running = classify.running_df(counts, 8)
+    assert "ExistingRDD" not in plan(running).replace("Scan ExistingRDD[doc_id", "") and running.where("word = 'cc' AND df = doc_id + 1").count() == 20
+
+
+def test_postings_of_a_query(spark):
+    docs = spark.createDataFrame([(1, "aa bb AA"), (2, "cc"), (3, None)], "page long, text string")
+    got = sorted(map(tuple, ranking.postings(docs, ["aa", "zz"]).collect()))
+    assert got == [(1, 3, "aa", 2), (2, 1, None, 0), (3, 0, None, 0)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequenza.functions import text
+from sequenza.functions.keys import placed
 
 K1, B = 2.0, 0.75
 
@@ -15,10 +16,14 @@ def latest(docs: DataFrame) -> DataFrame:
     return docs.groupBy("page").agg(F.max_by("text", "version").alias("text"), F.max("version").alias("version"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(page, length, word, tf) for docs (page, text): how often each token comes in a document of `length` tokens; a document without tokens has one row of null word."""
-    tokens = docs.select("page", text.index_tokens(F.col("text")).alias("tokens"))
-    sized = tokens.select("page", F.coalesce(F.size("tokens"), F.lit(0)).alias("length"), "tokens")  # before the explode, else it is made anew for each token
+def postings(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """(page, length, word, tf) for docs (page, text): how often each token comes in a document of `length` tokens; a document without tokens has one row of null word.
+
+    words: a query, whose words alone are listed then; a document without any of them has the row of null word.
+    """
+    tokens = placed(docs.select("page", "text"), "page").select("page", text.index_tokens(F.col("text")).alias("tokens"))
+    listed = F.col("tokens") if words is None else F.filter("tokens", lambda x: x.isin(words))
+    sized = tokens.select("page", F.coalesce(F.size("tokens"), F.lit(0)).alias("length"), listed.alias("tokens"))  # before the explode, else it is made anew for each token
     return sized.select("page", "length", F.explode_outer("tokens").alias("word")).groupBy("page", "length", "word").agg(F.count("word").alias("tf"))
 
 

@@ -392,15 +392,18 @@ def index_final(spark, d):
     return index.state(_pages(spark, d))
 
 
-def _query_terms(postings: DataFrame) -> DataFrame:
+def _query_terms(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """The three words of most documents among those in fewer than a third of them."""
-    n = postings.agg(F.count_distinct("page").alias("n"))
+    n = docs.agg(F.count_distinct("page").alias("n"))
     return postings.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("df")).crossJoin(n).where("df * 3 < n").orderBy(F.desc("df"), "word").limit(3).select("word")
 
 
 def _ranked(spark, d, all_docs: bool) -> DataFrame:
-    postings = cut(ranking.postings(table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")))
-    return ranking.bm25(postings, _query_terms(postings), all_docs).select("page", F.round("score", 9).alias("score"))
+    """The query's words first, of which only a few come back, and then the postings of those words, which are a few rows for each document."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")
+    terms = cut(_query_terms(ranking.postings(docs), docs))
+    postings = cut(ranking.postings(docs, [r["word"] for r in terms.collect()]))
+    return ranking.bm25(postings, terms, all_docs).select("page", F.round("score", 9).alias("score"))
 
 
 @query

@@ -287,8 +287,9 @@ def _spawned(spark, d) -> Stream:
 @query
 def label_scope_counts(spark, d):
     """Words counted within the label of the document they came from."""
-    s = _spawned(spark, d).flat_map(text.tokens(F.col("text")), "word", "pos")
-    return labels.require_labels(s.df, ["doc"]).groupBy("label_doc", "word").agg(F.count("*").alias("n"))
+    s = _spawned(spark, d)
+    whole = Stream(keys.placed(labels.require_labels(s.df, ["doc"]), "label_doc"), s.order)
+    return whole.flat_map(text.tokens(F.col("text")), "word", "pos").df.groupBy("label_doc", "word").agg(F.count("*").alias("n"))
 
 
 @query
